@@ -7,7 +7,7 @@ by decree.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,18 @@ from carelake.operators.joins import link
 from carelake.operators.upsert import insert_new
 from carelake.schemas import MODEL_SCHEMAS
 
+# Attribute -> (lookup table, key column, name column).
+ATTRIBUTES = {
+    "ethnic_group": ("ethnicgroup", "ethnic_group", "name"),
+    "gender_identity": ("genderidentity", "gender_identity", "name"),
+    "pronoun": ("pronoun", "pronoun", "pronoun"),
+    "sexual_orientation": ("sexualorientation", "sexual_orientation", "name"),
+}
+PROFESSIONAL_ATTRIBUTES = {
+    **ATTRIBUTES,
+    "profile_type": ("privacydocument", "privacy_document_id", "profile_type"),
+}
+
 # Fixed value: the privacy-document profile type that marks a patient.
 PATIENT_PROFILE = "Paciente"
 
@@ -35,6 +47,23 @@ def _lookup(df: DataFrame, lookup: DataFrame, key: str, name: str, out: str) ->
     return joined.select(*kept, F.coalesce(F.col("_name"), _as_text(key)).alias(out))
 
 
+def _named_attributes(
+    df: DataFrame,
+    attributes: Mapping[str, tuple[str, str, str]],
+    lookups: Mapping[str, DataFrame],
+    wanted: Collection[str],
+) -> DataFrame:
+    for out, (table, key, name) in attributes.items():
+        if out in wanted:
+            df = _lookup(df, lookups[table], key, name, out)
+    return df
+
+
+def _columns(table: str) -> list[str]:
+    """Column names of a model table."""
+    return T.StructType.fromDDL(MODEL_SCHEMAS[table]).fieldNames()
+
+
 def dim_date(appointments: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Every day from the first to the last appointment or creation date.
 
@@ -137,8 +166,8 @@ def disability_arrays(bridge: DataFrame, owner: str, types: DataFrame) -> DataFr
     return pairs.select(owner, repeated.alias("disability_type"))
 
 
-def _empty_array_if_null(c: str) -> Column:
-    return F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+def _or_empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
 def professionals_with_state(professionals: DataFrame, states: DataFrame) -> DataFrame:
@@ -149,43 +178,35 @@ def professionals_with_state(professionals: DataFrame, states: DataFrame) -> Dat
 
 
 def dim_professional(
-    professionals: DataFrame, lookups: Mapping[str, DataFrame], salt: str = ""
+    professionals: DataFrame,
+    lookups: Mapping[str, DataFrame],
+    salt: str = "",
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     """One row per (full_name, state): the latest created, then the smallest source id.
 
-    The name itself is not stored, only its hash.
+    The name itself is not stored, only its hash.  Only lookups that ``columns`` (all when
+    not given) asks for are joined.
     """
-    latest = latest_per_key(
+    wanted = _columns("dim_professional") if columns is None else columns
+    df = latest_per_key(
         professionals_with_state(professionals, lookups["address_state"]),
         ["professional_sk"],
         [F.col("created_at").desc_nulls_last()],
         [F.col("professional_id").asc()],
     )
-    arrays = disability_arrays(
-        lookups["professional_disability_types"], "professional_id", lookups["disabilitytype"]
-    )
-    df = latest.join(arrays, "professional_id", "left")
-    df = _lookup(df, lookups["ethnicgroup"], "ethnic_group", "name", "ethnic_group")
-    df = _lookup(df, lookups["genderidentity"], "gender_identity", "name", "gender_identity")
-    df = _lookup(df, lookups["pronoun"], "pronoun", "pronoun", "pronoun")
-    df = _lookup(df, lookups["sexualorientation"], "sexual_orientation", "name", "sexual_orientation")
-    df = _lookup(df, lookups["privacydocument"], "privacy_document_id", "profile_type", "profile_type")
-    return df.select(
-        F.col("professional_sk").alias("professional_id"),
-        "created_at",
-        hashed_name("full_name", salt).alias("full_name"),
-        "profile_status",
-        "active",
-        "published",
-        "specialty",
-        "ethnic_group",
-        "gender_identity",
-        "pronoun",
-        "sexual_orientation",
-        "profile_type",
-        _empty_array_if_null("disability_type"),
-        "state",
-    )
+    if "disability_type" in wanted:
+        arrays = disability_arrays(
+            lookups["professional_disability_types"], "professional_id", lookups["disabilitytype"]
+        )
+        df = df.join(arrays, "professional_id", "left")
+    df = _named_attributes(df, PROFESSIONAL_ATTRIBUTES, lookups, wanted)
+    made = {
+        "professional_id": F.col("professional_sk"),
+        "full_name": hashed_name("full_name", salt),
+        "disability_type": _or_empty("disability_type"),
+    }
+    return df.select([made.get(c, F.col(c)).alias(c) for c in wanted])
 
 
 def users_with_key(users: DataFrame, salt: str = "") -> DataFrame:
@@ -196,61 +217,63 @@ def users_with_key(users: DataFrame, salt: str = "") -> DataFrame:
     return some.withColumn("patient_key", patient_key("first_name", "last_name", "birth_date", salt))
 
 
+def patient_profiles(profiles: DataFrame) -> DataFrame:
+    """One profile per user: the latest, then the smallest id."""
+    return latest_per_key(
+        profiles.filter(F.col("user_id").isNotNull()).select(
+            "user_id", "profile_id", "created_at", "updated_at", *ATTRIBUTES
+        ),
+        ["user_id"],
+        [newest_touched()],
+        [F.col("profile_id").asc()],
+    ).drop("created_at", "updated_at")
+
+
 def dim_patient(
-    users: DataFrame, profiles: DataFrame, lookups: Mapping[str, DataFrame], salt: str = ""
+    users: DataFrame,
+    profiles: DataFrame,
+    lookups: Mapping[str, DataFrame],
+    salt: str = "",
+    columns: Collection[str] | None = None,
 ) -> DataFrame:
     """One row per patient key: the latest created user, then the smallest user id.
 
     Only users whose privacy document marks a patient.  A user with several profiles
-    counts with the latest.  Names are never stored.
+    counts with the latest.  Names are never stored.  Only lookups that ``columns`` (all
+    when not given) asks for are joined.
     """
-    documents = lookups["privacydocument"].select(
-        F.col("id").alias("privacy_document_id"), "profile_type"
-    ).filter(F.col("profile_type") == PATIENT_PROFILE)
-    patients = users_with_key(
-        users.select(
-            "user_id", "created_at", "first_name", "last_name", "birth_date", "is_active", "privacy_document_id"
-        ).join(documents, "privacy_document_id"),
-        salt,
-    ).drop("first_name", "last_name", "privacy_document_id")
-    latest = latest_per_key(
-        patients, ["patient_key"], [F.col("created_at").desc_nulls_last()], [F.col("user_id").asc()]
+    wanted = _columns("dim_patient") if columns is None else columns
+    documents = (
+        lookups["privacydocument"]
+        .select(F.col("id").alias("privacy_document_id"), "profile_type")
+        .filter(F.col("profile_type") == PATIENT_PROFILE)
     )
-
-    profile = latest_per_key(
-        profiles.filter(F.col("user_id").isNotNull()).select(
-            "user_id", "profile_id", "created_at", "updated_at",
-            "ethnic_group", "gender_identity", "pronoun", "sexual_orientation",
-        ),
-        ["user_id"],
-        [newest_touched()],
-        [F.col("profile_id").asc()],
-    ).drop("created_at", "updated_at")
-    arrays = disability_arrays(
-        lookups["profile_disability_types"], "profile_id", lookups["disabilitytype"]
+    patients = users_with_key(users, salt).select(
+        "user_id", "created_at", "birth_date", "is_active", "patient_key", "privacy_document_id"
     )
-    # Users without a profile have no profile id: many NULL keys.
-    with_profile = latest.join(profile, "user_id", "left")
-    df = link(with_profile, arrays, "profile_id", "profile_id", spread_by="patient_key")
-    df = _lookup(df, lookups["ethnicgroup"], "ethnic_group", "name", "ethnic_group")
-    df = _lookup(df, lookups["genderidentity"], "gender_identity", "name", "gender_identity")
-    df = _lookup(df, lookups["pronoun"], "pronoun", "pronoun", "pronoun")
-    df = _lookup(df, lookups["sexualorientation"], "sexual_orientation", "name", "sexual_orientation")
-    return df.select(
-        surrogate("patient_key").alias("patient_id"),
-        "patient_key",
-        "created_at",
-        F.lit(None).cast("string").alias("first_name"),
-        F.lit(None).cast("string").alias("last_name"),
-        "birth_date",
-        "is_active",
-        "profile_type",
-        "ethnic_group",
-        "gender_identity",
-        "pronoun",
-        "sexual_orientation",
-        _empty_array_if_null("disability_type"),
+    df = latest_per_key(
+        patients.join(documents, "privacy_document_id"),
+        ["patient_key"],
+        [F.col("created_at").desc_nulls_last()],
+        [F.col("user_id").asc()],
     )
+    if "disability_type" in wanted or set(ATTRIBUTES) & set(wanted):
+        df = df.join(patient_profiles(profiles), "user_id", "left")
+    if "disability_type" in wanted:
+        arrays = disability_arrays(
+            lookups["profile_disability_types"], "profile_id", lookups["disabilitytype"]
+        )
+        # Users without a profile have no profile id: many NULL keys.
+        df = link(df, arrays, "profile_id", "profile_id", spread_by="patient_key")
+    df = _named_attributes(df, ATTRIBUTES, lookups, wanted)
+    nothing = F.lit(None).cast("string")
+    made = {
+        "patient_id": surrogate("patient_key"),
+        "first_name": nothing,
+        "last_name": nothing,
+        "disability_type": _or_empty("disability_type"),
+    }
+    return df.select([made.get(c, F.col(c)).alias(c) for c in wanted])
 
 
 def null_after_use(df: DataFrame, *columns: str) -> DataFrame:

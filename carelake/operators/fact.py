@@ -158,6 +158,8 @@ def fact_appointments(
             "src_professional_id",
             "professional_id",
             spread_by="appointment_fingerprint",
+            # Professionals are few next to appointments: worth measuring to spare a shuffle.
+            measure=True,
         )
         df = df.withColumnsRenamed({"professional_sk": "professional_id", "clinic_sk": "clinic_id"})
 

@@ -1,37 +1,65 @@
-"""Left join to a table with at most one row per key, safe for hot NULL keys."""
+"""Left join to a table with at most one row per key: broadcast when measured small, else shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # NULL keys are spread over this many stand-in keys.
 NULL_SPREAD = 1024
+# Largest measured size of a side that is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+_PER_VALUE = 16
 
 
-def link(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str) -> DataFrame:
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df``: text length plus a fixed cost per value.  Runs one aggregate."""
+
+    def width(f: T.StructField) -> Column:
+        text = F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(0)
+        return F.coalesce(text, F.lit(0)) + _PER_VALUE
+
+    total = sum((width(f) for f in df.schema.fields[1:]), width(df.schema.fields[0]))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+def link(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    spread_by: str,
+    measure: bool = False,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
     """``left`` plus the columns of ``right`` whose unique string ``right_key`` equals ``left_key``.
 
-    A plain left join hashes every NULL key to one task.  Here a NULL key becomes one of
-    many stand-in keys, chosen by the row's own ``spread_by`` value so that a recomputed
-    task places its rows as before.  Stand-ins begin with a NUL character; should the
-    right side hold such a key, the guard below still keeps its values off rows without key.
-    Hot keys that are not NULL are split at run time by AQE's skew join, and a right side
-    that proves small is broadcast by AQE.
+    With ``measure`` (for sides that are usually small; Spark's own estimate multiplies up
+    through joins) the right side is measured and, within ``limit``, broadcast, so the left
+    side stays where it is.
+
+    Otherwise both sides are shuffled.  A plain left join hashes every NULL key to one task;
+    here a NULL key becomes one of many stand-in keys, chosen by the row's own ``spread_by``
+    value so that a recomputed task places its rows as before.  Stand-ins begin with a NUL
+    character; should the right side hold such a key, the guard keeps its values off rows
+    without a key.  Hot keys that are not NULL are split at run time by AQE's skew join.
     """
     taken = [c for c in right.columns if c != right_key]
     clash = set(taken) & set(left.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    keyed = right.filter(F.col(right_key).isNotNull()).withColumnRenamed(right_key, "_link")
+    columns = [F.col(c) for c in left.columns]
 
-    stand_in = F.concat(
-        F.lit("\0"), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SPREAD)).cast("string")
-    )
+    if measure and measured_bytes(keyed) <= limit:
+        joined = left.join(F.broadcast(keyed), left[left_key] == keyed["_link"], "left")
+        return joined.select(*columns, *taken)
+
+    stand_in = F.concat(F.lit("\0"), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SPREAD)).cast("string"))
     spread = left.withColumn("_link", F.coalesce(F.col(left_key), stand_in))
-    keyed = right.filter(F.col(right_key).isNotNull()).withColumnRenamed(right_key, "_link")
-    joined = spread.join(keyed, "_link", "left")
 
     def guarded(c: str) -> Column:
         return F.when(F.col(left_key).isNotNull(), F.col(c)).alias(c)
 
-    return joined.select(*left.columns, *[guarded(c) for c in taken])
+    return spread.join(keyed, "_link", "left").select(*columns, *[guarded(c) for c in taken])

@@ -22,7 +22,8 @@ def upsert(
     """
     src = src.select(*target.columns)
     if update_cols is None:
-        return target.join(src.select(*keys), list(keys), "left_anti").unionByName(src)
+        kept = target.join(src.select(*keys), list(keys), "left_anti")
+        return kept.select(*target.columns).unionByName(src)
 
     s, t = src.withColumn("_src", F.lit(True)).alias("s"), target.withColumn("_tgt", F.lit(True)).alias("t")
     on = reduce(Column.__and__, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys])

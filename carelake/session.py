@@ -29,6 +29,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
         .appName("carelake")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # No call-site capture per Column call: planning is most of a small query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
     for key, value in REQUIRED_CONF.items():

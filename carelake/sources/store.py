@@ -8,6 +8,7 @@ and a run never overwrites what it reads.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -33,7 +34,7 @@ class LayerStore:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return {}
             raise
-        # One row per table (26 at most), so this is safe to bring to the driver.
+        # One row per table of one run, so this is safe to bring to the driver.
         newest = manifest.agg(F.max("run_id").alias("run_id"))
         rows = manifest.join(newest, "run_id").collect()
         return {(r.layer, r.table_name): r.path for r in rows}
@@ -57,14 +58,22 @@ class LayerStore:
         self._published = {(layer, table): path for _, layer, table, path in self._written}
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: what the session names, else a local one (tests)."""
+    """Shared folder for intermediate tables: the one the session names.
+
+    Only a local session may go without; it gets a temporary folder of its own.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="carelake-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if context.applicationId not in _local_scratch:
+            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="carelake-")
+        shared = _local_scratch[context.applicationId]
     return shared.rstrip("/")
 
 

@@ -29,7 +29,7 @@ from carelake.sources import readers
 from carelake.sources.store import materialize, scratch_root
 from verification import oracle
 from verification.oracle import AS_OF, half_up, hundredths, mean_h, pct_h
-from verification.standin import driver_tables, source_table
+from verification.standin import DriverTables, source_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,13 +55,14 @@ class Layers:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = tune(spark)
         self.sf_dir = sf_dir
+        self.tables = DriverTables(spark, sf_dir)
         self.typed = Tables(self)
 
     def driver(self, name: str) -> DataFrame:
-        return driver_tables(self.spark, self.sf_dir)[name]
+        return self.tables[name]
 
     def source(self, entity: str) -> DataFrame:
-        return source_table(self.spark, self.sf_dir, entity)
+        return source_table(self.tables, entity)
 
     def raw(self, entity: str) -> DataFrame:
         return readers.raw_table(self.source(entity), SPECS[entity], FieldMap())
@@ -80,11 +81,23 @@ class Layers:
 
     @cached_property
     def dim_professional(self) -> DataFrame:
-        return dimensions.dim_professional(self.typed["professional"], self.typed)
+        return self.professionals()
 
     @cached_property
     def dim_patient(self) -> DataFrame:
-        return dimensions.dim_patient(self.typed["user"], self.typed["profile"], self.typed)
+        return self.patients()
+
+    def professionals(self, *columns: str) -> DataFrame:
+        return dimensions.dim_professional(self.typed["professional"], self.typed, columns=columns or None)
+
+    def patients(self, *columns: str) -> DataFrame:
+        return dimensions.dim_patient(
+            self.typed["user"], self.typed["profile"], self.typed, columns=columns or None
+        )
+
+    @cached_property
+    def professional_names(self) -> DataFrame:
+        return self.professionals("professional_id", "full_name", "state")
 
     @property
     def dims(self) -> dict[str, DataFrame]:
@@ -93,27 +106,35 @@ class Layers:
 
     def fact(self, *columns: str) -> DataFrame:
         wanted = columns or FACT_COLUMNS
-        return fact_appointments(
-            self.typed, {"dim_patient": self.dim_patient} if "patient_id" in wanted else None, wanted
-        )
+        dims = {"dim_patient": self.patients("patient_key", "patient_id")}
+        return fact_appointments(self.typed, dims if "patient_id" in wanted else None, wanted)
 
     @cached_property
     def mart_patients(self) -> DataFrame:
-        return marts.mart_patients(self.dim_patient, AS_OF)
+        return marts.mart_patients(self.patients(*_PATIENT_MART_COLUMNS), AS_OF)
 
     @cached_property
     def mart_disability(self) -> DataFrame:
-        return marts.mart_patient_disability(self.dim_patient)
+        return marts.mart_patient_disability(self.patients("created_at", "is_active", "disability_type"))
 
     @cached_property
     def mart_professionals(self) -> DataFrame:
         fact = self.fact("professional_id", "status", "report_id")
-        return marts.mart_professionals(self.dim_professional, fact, self.dim_report)
+        dim = self.professionals(
+            "professional_id", "sexual_orientation", "ethnic_group", "gender_identity",
+            "specialty", "state", "profile_status", "active",
+        )
+        return marts.mart_professionals(dim, fact, self.dim_report)
 
     @cached_property
     def mart_appointments(self) -> DataFrame:
         fact = self.fact("professional_id", "date_id", "created_date_id", "status", "type", "waiting_time")
-        return marts.mart_professional_appointments(self.dim_professional, fact)
+        return marts.mart_professional_appointments(self.professionals("professional_id", "specialty"), fact)
+
+
+_PATIENT_MART_COLUMNS = (
+    "created_at", "birth_date", "is_active", "gender_identity", "sexual_orientation", "ethnic_group",
+)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -167,7 +188,7 @@ register(
     from events""",
 )(
     lambda q: readers.to_text(
-        q.spark.read.parquet(f"{q.sf_dir}/events.parquet").select(
+        q.driver("events").select(
             "event_id", "ts", "event_type", (F.col("user_id") % 2 == 0).alias("even_user")
         )
     )
@@ -379,7 +400,7 @@ register(
         (partition by user_id order by ts desc, event_id, event_type, value, props) = 1""",
 )(
     lambda q: latest_per_key(
-        q.spark.read.parquet(f"{q.sf_dir}/events.parquet").select(
+        q.driver("events").select(
             "event_id", "ts", "user_id", "event_type", "value", "props"
         ),
         ["user_id"],
@@ -505,7 +526,7 @@ register(
 
 def _fact_with_natural_keys(q: Layers) -> DataFrame:
     """The fact with every surrogate resolved in its dimension."""
-    professional = q.dim_professional.select(
+    professional = q.professional_names.select(
         "professional_id",
         F.col("full_name").alias("professional_name"),
         F.col("state").alias("professional_state"),
@@ -528,7 +549,7 @@ def _fact_with_natural_keys(q: Layers) -> DataFrame:
         .join(professional, "professional_id", "left")
         .join(clinic, "clinic_id", "left")
         .join(report, "report_id", "left")
-        .join(q.dim_patient.select("patient_id", "patient_key"), "patient_id", "left")
+        .join(q.patients("patient_id", "patient_key"), "patient_id", "left")
         .drop("id_fact_appointment", "professional_id", "clinic_id", "report_id", "patient_id")
     )
 
@@ -585,7 +606,7 @@ _MART_PATIENTS_SQL = f"""select period_month, age_group, gender_identity, sexual
 register("k2_mart_patients", _MART_PATIENTS_SQL)(lambda q: q.mart_patients)
 register("k3_month_growth", f"select period_month as month, {hundredths('growth_h')} as growth_rate from mart_growth")(
     lambda q: marts.month_growth(
-        q.dim_patient.filter("created_at is not null")
+        q.patients("created_at").filter("created_at is not null")
         .groupBy(fn.calendar_month("created_at").alias("month"))
         .agg(F.count(F.lit(1)).alias("total")),
         "month",
@@ -597,7 +618,7 @@ register(
     "k5_mart_professionals",
     f"""select full_name, sexual_orientation, ethnic_group, gender_identity, specialty, state, profile_status,
         active, total_appointments, {hundredths('rating_h')} as avg_feedback_rating from mart_professionals""",
-)(lambda q: with_professional(q.mart_professionals, q.dim_professional))
+)(lambda q: with_professional(q.mart_professionals, q.professional_names))
 register(
     "k6_mart_professional_appointments",
     f"""select full_name, state, appointment_period, specialty, total_appointments, completed_appointments,
@@ -608,7 +629,7 @@ register(
         {hundredths('waiting_h')} as avg_waiting_time,
         make_date(last_created // 10000, last_created // 100 % 100, last_created % 100) as created_at
     from mart_professional_appointments""",
-)(lambda q: with_professional(q.mart_appointments, q.dim_professional, "state"))
+)(lambda q: with_professional(q.mart_appointments, q.professional_names, "state"))
 register(
     "k7_pct",
     f"""select l_suppkey, {hundredths(pct_h('returned', 'total'))} as returned_pct,
@@ -654,7 +675,7 @@ register(
 
 def _top_disabilities(q: Layers) -> DataFrame:
     # Both marts read the patient dimension.
-    patients = materialize(q.dim_patient, "dim_patient")
+    patients = materialize(q.patients(*_PATIENT_MART_COLUMNS, "disability_type"), "dim_patient")
     return dashboard.q_top_disabilities(
         marts.mart_patient_disability(patients), marts.mart_patients(patients, AS_OF)
     )
@@ -707,7 +728,7 @@ register(
     from professional_counts where ratings > 0 group by 1""",
 )(
     lambda q: dashboard.q_rating_by_state(
-        q.fact("professional_id", "report_id"), q.dim_professional, q.dim_report
+        q.fact("professional_id", "report_id"), q.professional_names, q.dim_report
     )
 )
 register(
@@ -716,7 +737,7 @@ register(
     from mart_professionals""",
 )(
     lambda q: with_professional(
-        dashboard.q_professional_ratings(q.mart_professionals), q.dim_professional, "state"
+        dashboard.q_professional_ratings(q.mart_professionals), q.professional_names, "state"
     )
 )
 register(
@@ -756,7 +777,7 @@ register(
     "q16_registrations",
     """select cast(date_trunc('month', created_at) as date) as month, count(*) as registrations
     from dim_patient where created_at is not null group by 1""",
-)(lambda q: dashboard.q_registrations(q.dim_patient))
+)(lambda q: dashboard.q_registrations(q.patients("created_at")))
 register(
     "q16_status_counts",
     "select lower(coalesce(status, '')) as status, count(*) as appointments from fact group by 1",
@@ -821,7 +842,7 @@ register(
 def _completed_totals(q: Layers) -> DataFrame:
     columns = ("professional_id", "date_id", "created_date_id", "status", "type", "waiting_time")
     fact = materialize(q.fact(*columns), "fact")
-    return checks.completed_totals(marts.mart_professional_appointments(q.dim_professional, fact), fact)
+    return checks.completed_totals(marts.mart_professional_appointments(q.professionals("professional_id", "specialty"), fact), fact)
 
 
 register(
