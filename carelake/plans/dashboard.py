@@ -6,6 +6,8 @@ are defined here.  Results are small; ordered ones are ordered as the charts nee
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,17 @@ def q_appointments_per_month(professional_appointments: DataFrame) -> DataFrame:
     )
 
 
+def charts(marts: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The five coded charts over published marts, by name."""
+    return {
+        "patients_month": q_patients_per_month(marts["patients"]),
+        "patients_age": q_age_distribution(marts["patients"]),
+        "disability": q_top_disabilities(marts["patient_disability"], marts["patients"]),
+        "prof_spec": q_top_specialties(marts["professionals"]),
+        "prof_series": q_appointments_per_month(marts["professional_appointments"]),
+    }
+
+
 # --- documented tiles: appointments ------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from carelake.sources.readers import raw_table, read_source
 from carelake.sources.store import LayerStore
 
 # Independent tables are submitted together; Spark shares the executors among them.
-PARALLEL_TABLES = 4
+PARALLEL_TABLES = 8
 
 SUMMARY_DDL = (
     "layer string, table_name string, ok boolean, eligible bigint, inserted bigint,"
@@ -56,6 +57,7 @@ class Refresh:
         self.cfg = cfg
         self.store = LayerStore(spark, cfg.root)
         self.results: list[TableResult] = []
+        self.seconds: dict[str, float] = {}
         self._load = load or (lambda entity: read_source(spark, cfg.source, cfg.fields.table_name(entity)))
 
     # -- layers ------------------------------------------------------------------
@@ -122,12 +124,14 @@ class Refresh:
     # -- run ---------------------------------------------------------------------
 
     def run(self) -> DataFrame:
-        raw = self._each(SPECS, lambda name: self.load_raw(SPECS[name]))
-        typed = self._each(SPECS, lambda name: self.load_typed(SPECS[name], raw[name]))
-        model = self.load_model(typed)
-        self.load_marts(model)
+        """All layers in order.  A failure raises before the next layer and before publishing."""
+        self.raw = self._timed("raw", lambda: self._each(SPECS, lambda n: self.load_raw(SPECS[n])))
+        self.typed = self._timed(
+            "typed", lambda: self._each(SPECS, lambda n: self.load_typed(SPECS[n], self.raw[n]))
+        )
+        self.model = self._timed("model", lambda: self.load_model(self.typed))
+        self.marts = self._timed("mart", lambda: self.load_marts(self.model))
         self.store.publish()
-        self.raw, self.typed, self.model = raw, typed, model
         return self.summary()
 
     def summary(self) -> DataFrame:
@@ -160,6 +164,12 @@ class Refresh:
         self._record(layer, name, counts.eligible, counts.inserted, updated, written.count())
         return written
 
+    def _timed(self, layer: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        start = time.perf_counter()
+        tables = build()
+        self.seconds[layer] = time.perf_counter() - start
+        return tables
+
     def _record(self, layer: str, name: str, eligible: int, inserted: int, updated: int, rows: int) -> None:
         self.results.append(TableResult(layer, name, True, eligible, inserted, updated, rows))
 

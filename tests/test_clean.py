@@ -39,7 +39,7 @@ CASES = {
         fn.to_utc,
         [("2020-01-01T09:00:00Z", at(9)), ("2020-01-01 09:00:00-03", at(12)), ("2020-01-01", at(0)),
          (" 2020-01-01 09:30:00 ", at(9, 30)), ("2020-01-01T09:00:00+02:00", at(7)), ("junk", None),
-         ("", None), ("2020", None), ("2020-01", None), ("T10:00:00", None), ("2020-13-01", None), (None, None)],
+         ("2020-01-01 09:00:00+0300", at(6)), ("", None), ("2020", None), ("2020-01", None), ("T10:00:00", None), ("2020-13-01", None), (None, None)],
     ),
     "parse_price": (
         fn.parse_price,

@@ -153,7 +153,7 @@ def test_null_keys_are_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [r["count"] for r in per_task]
-    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
 
 
 # --- typed -------------------------------------------------------------------------
