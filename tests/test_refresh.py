@@ -98,7 +98,7 @@ def test_changed_rows_update_and_new_rows_insert(spark, source, runs):
         if entity != "appointment":
             return df
         extra = df.limit(1).withColumns({"id": F.lit("brand-new"), "date": F.lit("2001-01-01")})
-        return df.withColumn("status", F.lit("completed")).unionByName(extra)
+        return df.unionByName(extra).withColumn("status", F.lit("completed"))
 
     third = Refresh(spark, RefreshConfig(root=root, source=source, as_of=AS_OF), load=load)
     third.run()
