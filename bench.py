@@ -73,8 +73,9 @@ def main() -> None:
     second.run()
     times["rerun"] = sum(second.seconds.values())
 
-    for name, df in charts(second.marts).items():
-        times[f"chart_{name}"] = timed(df.collect, CHART_REPEATS)
+    # Planned anew each time: a DataFrame that has run keeps its shuffles.
+    for name in charts(second.marts):
+        times[f"chart_{name}"] = timed(lambda n=name: charts(second.marts)[n].collect(), CHART_REPEATS)
 
     print(
         json.dumps(
