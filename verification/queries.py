@@ -6,6 +6,7 @@ surrogate keys replaced by the natural keys they stand for.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -22,11 +23,11 @@ from carelake.operators.fact import FACT_COLUMNS, fact_appointments, fact_reject
 from carelake.operators.typed import build_typed, clean_rows, rejected_values
 from carelake.operators.upsert import insert_new, upsert, upsert_metrics
 from carelake.plans import dashboard
-from carelake.plans.refresh import Refresh, rejected_report, summary_totals
+from carelake.plans.refresh import Refresh, RefreshFailed, rejected_report, summary_totals
 from carelake.schemas import MODEL_SCHEMAS, PII_COLUMNS, SPECS
 from carelake.session import tune
 from carelake.sources import readers
-from carelake.sources.store import materialize, scratch_root
+from carelake.sources.store import LayerStore, materialize, scratch_root
 from verification import oracle
 from verification.oracle import AS_OF, half_up, hundredths, mean_h, pct_h
 from verification.standin import DriverTables, source_table
@@ -224,24 +225,22 @@ def _union(parts) -> DataFrame:
 
 
 def _missing_source(q: Layers) -> DataFrame:
-    """Each entity looked up under its own name among the driver tables: which ones are found."""
-
-    def found(table: str) -> bool:
-        try:
-            readers.read_source(q.spark, readers.SourceConfig(format="parquet", path=q.sf_dir), table)
-        except readers.SourceTableMissing:
-            return False
-        return True
-
-    base = q.driver("region").select(F.col("r_regionkey").alias("k"))
-    return base.select(
-        "k", F.lit(found("orders")).alias("orders_found"), F.lit(found("appointment")).alias("appointment_found")
+    """A table that exists is read; one that does not is reported as missing."""
+    source = readers.SourceConfig(format="parquet", path=q.sf_dir)
+    try:
+        readers.read_source(q.spark, source, "appointment")
+        missing = False
+    except readers.SourceTableMissing:
+        missing = True
+    orders = readers.read_source(q.spark, source, "orders")
+    return orders.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("orders"), F.lit(missing).alias("appointment_missing")
     )
 
 
 register(
     "s7_missing_source",
-    "select r_regionkey as k, true as orders_found, false as appointment_found from region",
+    "select o_orderstatus, count(*) as orders, true as appointment_missing from orders group by 1",
 )(_missing_source)
 register(
     "s8_empty_target",
@@ -898,7 +897,7 @@ register(
 register(
     "v6_pii_absent",
     " union all ".join(
-        f"select '{c}' as column_name, cast(0 as bigint) as filled from region where r_regionkey = 0"
+        f"select '{c}' as column_name, cast(0 as bigint) as filled"
         for c in SPECS["user"].raw_columns
         if c in PII_COLUMNS
     ),
@@ -911,11 +910,9 @@ register(
 # --- runs --------------------------------------------------------------------------------------------
 
 
-def _refresh(q: Layers, run: str) -> Refresh:
-    import uuid
-
+def _refresh(q: Layers, run: str, kind: type[Refresh] = Refresh) -> Refresh:
     root = f"{scratch_root(q.spark)}/carelake/{run}-{uuid.uuid4().hex}"
-    return Refresh(q.spark, RefreshConfig(root=root, as_of=AS_OF), load=q.source)
+    return kind(q.spark, RefreshConfig(root=root, as_of=AS_OF), load=q.source)
 
 
 _MODEL_TABLES = {
@@ -969,29 +966,33 @@ register("l2_rejected_values", _rejected_sql())(
 )
 
 
-def _stops_on_failure(q: Layers) -> DataFrame:
-    """A typed table that fails stops the run before the model; nothing is published."""
-    from carelake.plans.refresh import RefreshFailed
-    from carelake.sources.store import LayerStore
+class _FailingReports(Refresh):
+    def load_typed(self, spec, raw):
+        if spec.name == "report":
+            raise ValueError("typed report failed")
+        return super().load_typed(spec, raw)
 
-    def load(entity: str) -> DataFrame:
-        if entity == "report":
-            raise readers.SourceTableMissing("source table 'report' not found")
-        return q.source(entity)
 
-    refresh = _refresh(q, "failing")
-    refresh._load = load
+def _stops_on_failure(q: Layers) -> DataFrame:
+    """A typed table that fails stops the run before the model; nothing is published."""
+    refresh = _refresh(q, "failing", _FailingReports)
     try:
         refresh.run()
         stopped = False
     except RefreshFailed:
         stopped = True
     published = LayerStore(q.spark, refresh.cfg.root).read_published("typed", "appointment") is not None
-    return q.driver("region").select(
-        F.col("r_regionkey").alias("k"), F.lit(stopped).alias("stopped"), F.lit(published).alias("published")
+    # The raw layer was loaded before the failure.
+    return refresh.raw["appointment"].groupBy("status").agg(
+        F.count(F.lit(1)).alias("loaded"),
+        F.lit(stopped).alias("stopped"),
+        F.lit("model" in refresh.seconds).alias("model_built"),
+        F.lit(published).alias("published"),
     )
 
 
-register("l3_stop_on_failure", "select r_regionkey as k, true as stopped, false as published from region")(
-    _stops_on_failure
-)
+register(
+    "l3_stop_on_failure",
+    """select status, count(*) as loaded, true as stopped, false as model_built, false as published
+    from raw_appointment group by 1""",
+)(_stops_on_failure)
