@@ -24,7 +24,8 @@ def read_source(spark: SparkSession, cfg: SourceConfig, table: str) -> DataFrame
     """One source table; Spark splits the scan, nothing passes through the driver."""
     options = {**cfg.options, **cfg.table_options.get(table, {})}
     if cfg.format == "csv":
-        # Text stays text: no schema inference, no extra pass.
+        # Text stays text: no schema inference, no extra pass.  Free text may hold line breaks,
+        # so a file is one split: export many files, or set multiLine=false where none occur.
         options = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"', **options}
     try:
         if cfg.format in _FILE_FORMATS:
