@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of output a Python task gathers before it hands a batch on.
 BATCH_BYTES = 8 << 20
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Applications whose tasks have this package.
 _SHIPPED: set[str] = set()
 
@@ -62,6 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A side of a join, to be broadcast if it has BROADCAST_ROWS at most; beyond, the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_of(column: str | Column) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, toxicity
-from carelake.llm.common import table
+from carelake.llm import bpe, decontaminate, linededup, simhash, toxicity
+from carelake.llm.common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "prints")
+    return simhash.near_duplicates(prints).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.read_spec(spark, WORD_BPE))
     return coded.select(
@@ -42,7 +55,36 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+_SHINGLES = """
+    list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+        else [array_to_string(w, ' ')] end)
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_decontamination": f"""
+        with item_words as (
+            select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from benchmark where item_id is not null
+        ), classes as (
+            select min(item_id) as item_id, s from (
+                select item_id, list_sort({_SHINGLES}) as s from item_words where len(w) > 0
+            ) group by s
+        ), item_shingle as (
+            select item_id, len(s) as n, unnest(s) as shingle from classes
+        ), doc_words as (
+            select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents
+        ), doc_shingle as (
+            select doc_id, unnest({_SHINGLES}) as shingle from doc_words where len(w) > 0
+        )
+        select doc_id, item_id, count(*)::int as shared_shingles, any_value(n)::int as item_shingles,
+            count(*) / any_value(n) as containment
+        from (select distinct * from doc_shingle) join item_shingle using (shingle)
+        group by doc_id, item_id
+        having count(*) >= 0.8 * any_value(n)
+    """,
+}
