@@ -119,31 +119,3 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(v, type=f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
     )
-
-
-def binned_rank(df: DataFrame, group: list[str], bins: int, out: str, id_column: str = "doc_id") -> DataFrame:
-    """Gapless ranks from 0 within each group, in the order of a hash of the id.
-
-    A group's rows are dealt into `bins` hash bins: only the bins' counts are summed up in order, and the window
-    that numbers the rows sees one bin of one group, so that no group is ever in one task.
-    """
-    from pyspark.sql import Window
-
-    salted = df.withColumn("_bin", F.pmod(F.xxhash64(F.lit("bin"), id_column), F.lit(bins)).cast("int"))
-    sizes = salted.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(ordered), F.lit(0))).drop("_n")
-    for name in group:
-        offsets = offsets.withColumnRenamed(name, f"_g_{name}")
-    offsets = offsets.withColumnRenamed("_bin", "_g_bin")
-    within = Window.partitionBy(*group, "_bin").orderBy(F.xxhash64(F.lit("order"), id_column), id_column)
-    numbered = salted.withColumn("_row", F.row_number().over(within) - 1)
-    same = [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in group] + [F.col("_bin") == F.col("_g_bin")]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    return (
-        numbered.join(offsets, condition, "left")
-        .withColumn(out, (F.col("_row") + F.col("_before")).cast("long"))
-        .drop("_row", "_before", "_bin", "_g_bin", *[f"_g_{name}" for name in group])
-    )

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, decontaminate, linededup, simhash, toxicity
-from carelake.llm.common import table, written
+from carelake.llm import bpe, decontaminate, linededup, mtree, orcids, secrets, sharding, simhash, toxicity, warc
+from carelake.llm.common import scratch_path, table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,10 +30,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write(pages, path, pages.rdd.getNumPartitions())
+    found = warc.read(spark, path, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "prints")
     return simhash.near_duplicates(prints).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -43,6 +55,29 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(mtree.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    return mtree.top_k(vectors, F.col("id") % 20 == 0)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.find(documents, secrets.fit(documents))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined(F.filter("found", lambda x: x["kind"] != "cnn")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.read_spec(spark, WORD_BPE))
     return coded.select(
@@ -53,12 +88,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-ids")
+    orcids.write(documents, bpe.read_spec(spark, WORD_BPE), path, documents.rdd.getNumPartitions())
+    return orcids.placed(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_mtree": op7_mtree,
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_orc_ids": op10_orc_ids,
 }
 
 _SHINGLES = """
@@ -67,6 +114,33 @@ _SHINGLES = """
 """
 
 ORACLE: dict[str, str] = {
+    "op4_warc": """
+        with payload as (
+            select page_id, url, encode(coalesce(html, '')) as body from pages
+        ), sized as (
+            select page_id, url, octet_length(body) as payload_bytes, sha256(body) as payload_digest from payload
+        ), shared as (
+            select payload_digest, min(page_id) as first from sized where payload_bytes >= 100 group by payload_digest
+        )
+        select page_id, payload_bytes, payload_digest,
+            case when coalesce(first, page_id) = page_id then 'response' else 'revisit' end as record_type,
+            case when coalesce(first, page_id) <> page_id then first end as refers_to,
+            url, null::varchar as error
+        from sized left join shared using (payload_digest)
+    """,
+    "op7_mtree": """
+        with vector as (
+            select vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
+            where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        ), scored as (
+            select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+            from vector a join vector b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+        ), ranked as (
+            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+            from scored
+        )
+        select * from ranked where rank <= 20
+    """,
     "op6_decontamination": f"""
         with item_words as (
             select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from benchmark where item_id is not null
