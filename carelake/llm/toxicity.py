@@ -128,8 +128,9 @@ class Scanner:
         known, score = self.known, self.model.piece_score
         if len(known) > HELD:
             known.clear()
-        for piece in set(pieces) - known.keys():
-            known[piece] = score(piece)
+        for piece in set(pieces):
+            if piece not in known:
+                known[piece] = score(piece)
         rest = self.model.rest
         own = [(i, s) for i, s in enumerate(map(known.__getitem__, pieces)) if s != rest]
         return maximal_segments(own, rest), len(pieces), own
