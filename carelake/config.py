@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from carelake.functions.clean import TimeRule
 from carelake.schemas import PII_COLUMNS
 
 
@@ -22,13 +23,14 @@ class FieldMap:
     """A partner's names and values, by entity.
 
     ``tables``: entity -> source table name.  ``columns``: entity -> {source column: raw column}.
-    ``values``: entity -> {raw column: ValueMap}.  ``pii``: columns nulled on load.
+    ``values``: entity -> {raw column: ValueMap}.  ``pii``: columns nulled on load.  ``times``: how times are written.
     """
 
     tables: Mapping[str, str] = field(default_factory=dict)
     columns: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     values: Mapping[str, Mapping[str, ValueMap]] = field(default_factory=dict)
     pii: tuple[str, ...] = PII_COLUMNS
+    times: TimeRule = field(default_factory=TimeRule)
 
     def table_name(self, entity: str) -> str:
         return self.tables.get(entity, entity)
@@ -48,6 +50,7 @@ class FieldMap:
             columns=raw.get("columns", {}),
             values=values,
             pii=tuple(raw.get("pii", PII_COLUMNS)),
+            times=TimeRule(**raw.get("times", {})),
         )
 
 
@@ -55,9 +58,9 @@ class FieldMap:
 class SourceConfig:
     """``format``: parquet | csv | orc | json | jdbc | table.
 
-    File formats read ``<path>/<table>`` (or ``<path>/<table>.<format>``).  For jdbc give
-    ``url`` and, to read in parallel, ``partitionColumn``/``lowerBound``/``upperBound``/
-    ``numPartitions`` in ``options`` or, per entity, in ``table_options``.
+    File formats read ``<path>/<table>`` (or ``<path>/<table>.<format>``).  csv needs ``multiLine``.
+    For jdbc give ``url`` and ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions`` (or
+    ``singlePartition=true``) in ``options`` or, per entity, in ``table_options``.
     """
 
     format: str = "parquet"
@@ -77,3 +80,5 @@ class RefreshConfig:
     strict_minor_bucket: bool = False
     key_salt: str = ""
     seed_empty_tables: bool = False
+    #: Published runs whose tables are kept.
+    keep_runs: int = 3

@@ -7,6 +7,7 @@ table is one projection inside whole-stage codegen.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,35 @@ MODALITY_DEFAULT = "Outro"
 
 # \A and \z: Java's $ would accept a trailing newline.
 _DIGITS = r"\A[0-9]+\z"
-# Spark also reads bare years, year-months and times of day; only full dates count here.
-_FULL_DATE = r"\A[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}"
+# A full date, alone or with a time of day down to seconds: Spark reads these itself.  It also reads bare years,
+# year-months and times of day, which count for nothing here.
+_PLAIN_TIME = r"\A[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}(?:[T ][0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}(?::?[0-9]{2})?)?)?\z"
+_FULL_DATE = r"\A[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}(?:[T ][0-9]|\z)"
+_ZONED = r"(?:[Zz]|UTC|GMT|(?::[0-9]{2}|[Tt ][0-9]{4}|[Tt ][0-9]{6})(?:\.[0-9]+)?[ ]*[+-][0-9]{1,2}(?::?[0-9]{2})?)\z"
+_HALF_DAY = r"[ ]*([AaPp][Mm])\z"
+# Fixed value: the months' names, three letters each.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_EPOCH_UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+
+
+@dataclass(frozen=True)
+class TimeRule:
+    """How a partner writes times.
+
+    ``order``: ``mdy`` or ``dmy``, for dates with slashes or dashes that begin with day or month.
+    ``zone``: the zone of texts without one.  ``epoch``: whole numbers are seconds (``s``), ``ms`` or ``us``
+    since 1970 in UTC.
+    """
+
+    order: str = "mdy"
+    zone: str = "UTC"
+    epoch: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.order not in ("mdy", "dmy"):
+            raise ValueError(f"unknown date order: {self.order!r}")
+        if self.epoch is not None and self.epoch not in _EPOCH_UNITS:
+            raise ValueError(f"unknown epoch unit: {self.epoch!r}")
 
 
 def _col(c: Column | str) -> Column:
@@ -57,14 +85,62 @@ def parse_bool(c: Column | str) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
-def as_utc_timestamp(c: Column | str) -> Column:
+def _dashed(t: Column, order: str) -> Column:
+    """The other ways to write a date, as year-month-day; then times without seconds or signs, and short zones."""
+    slashed = "$3-$1-$2" if order == "mdy" else "$3-$2-$1"
+    steps = (
+        (r"\A([0-9]{4})([0-9]{2})([0-9]{2})(?=\z|[Tt ])", "$1-$2-$3"),
+        (r"\A([0-9]{4,6})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3"),
+        (r"\A([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", slashed),
+        (r"\A([A-Za-z]{3,9})[- ]([0-9]{1,2})[-, ]+([0-9]{4})", "$3-$1-$2"),
+        (r"\A([0-9]{1,2})[- ]([A-Za-z]{3,9})[-, ]+([0-9]{4})", "$3-$2-$1"),
+    )
+    for pattern, form in steps:
+        t = F.regexp_replace(t, pattern, form)
+    name = F.lower(F.regexp_extract(t, r"\A[0-9]{4,6}-([A-Za-z]{3})[a-z]*-", 1))
+    # 1 to 12 by the name's place in the list; a name that is none gives 0, which no cast reads
+    month = F.concat(F.lit("-"), F.ceil(F.instr(F.lit(_MONTHS), name) / 3).cast("string"), F.lit("-"))
+    t = F.when(name == "", t).otherwise(F.regexp_replace(t, F.lit("-[A-Za-z]+-"), month))
+    steps = (
+        (r"(?<=[0-9])(?:[Tt]|[ ]+)(?=[0-9])", "T"),
+        (r"T([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2"),
+        (r"T([0-9]{2})([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:$3"),
+        (r"T([0-9]{1,2}):([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:00"),
+        (r"[ ]*(?:[Zz]|UTC|GMT)\z", "Z"),
+        (r"[ ]+(?=[+-][0-9:]+\z)", ""),
+        (r"(:[0-9]{2}(?:\.[0-9]+)?[+-])([0-9])(?=\z|:)", "$10$2"),
+    )
+    for pattern, form in steps:
+        t = F.regexp_replace(t, pattern, form)
+    return t
+
+
+def as_utc_timestamp(c: Column | str, rule: TimeRule = TimeRule()) -> Column:  # noqa: B008
+    """Full dates, with or without time of day and zone; anything else is NULL.
+
+    Dates: dashes, slashes, compact, month names.  Times: with or without seconds, compact, AM and PM.  Zones: Z, UTC,
+    GMT, or an offset of hours with or without minutes.
+    """
     t = F.trim(_col(c))
-    return F.when(t.rlike(_FULL_DATE), t.try_cast("timestamp"))
-
-
-def to_utc(c: Column | str) -> Column:
+    dashed = _dashed(t, rule.order)
+    twelve_hours = F.regexp_replace(F.upper(dashed), "[ ]*([AP]M)", " $1")
+    half = F.try_to_timestamp(twelve_hours, F.lit("y-M-d'T'h:mm:ss a"))
+    read = (
+        F.when(t.rlike(_PLAIN_TIME), t.try_cast("timestamp"))
+        .when(t.rlike(_HALF_DAY), half)
+        .when(dashed.rlike(_FULL_DATE), dashed.try_cast("timestamp"))
+    )
+    if rule.zone != "UTC":
+        read = F.when(t.rlike(_ZONED), read).otherwise(F.to_utc_timestamp(read, rule.zone))
+    if rule.epoch is None:
+        return read
+    micros = F.try_multiply(t.try_cast("bigint"), F.lit(_EPOCH_UNITS[rule.epoch]).cast("bigint"))
+    return F.when(t.rlike(r"\A-?[0-9]+\z"), F.timestamp_micros(micros)).otherwise(read)
+
+
+def to_utc(c: Column | str, rule: TimeRule = TimeRule()) -> Column:  # noqa: B008
     """Text timestamp, with or without offset, as UTC wall clock (needs a UTC session zone)."""
-    return as_utc_timestamp(c).cast("timestamp_ntz")
+    return as_utc_timestamp(c, rule).cast("timestamp_ntz")
 
 
 def parse_price(c: Column | str, locale: str | None = None) -> Column:

@@ -55,8 +55,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def pct(a: Column | str, b: Column | str) -> Column:
-    """``a / b`` in percent, two decimals, NULL when ``b`` is 0."""
-    return F.round(_ratio(_col(a), _col(b)) * 100, 2).cast("decimal(12,2)")
+    """``a / b`` in percent, two decimals, NULL when ``b`` is 0; wide enough for any two counts."""
+    return F.round(_ratio(_col(a), _col(b)) * 100, 2).cast("decimal(24,2)")
 
 
 def growth(current: Column | str, previous: Column | str) -> Column:
@@ -79,8 +79,9 @@ def waiting_minutes(created: Column | str, appointment: Column | str) -> Column:
 
 
 def date_id(c: Column | str) -> Column:
+    """yyyymmdd; NULL for years that such a key cannot hold, so that one odd cell ends no run."""
     d = _col(c)
-    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    return (F.year(d).cast("bigint") * 10000 + F.month(d) * 100 + F.dayofmonth(d)).try_cast("int")
 
 
 def calendar_month(c: Column | str) -> Column:

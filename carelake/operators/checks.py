@@ -52,23 +52,31 @@ FACT_REFERENCES = {
 
 
 def reference_counts(fact: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
-    """(column_name, orphans, nulls) per fact reference.
+    """(column_name, orphans, nulls) per fact reference, from one scan of the facts.
 
-    Values are counted per distinct key before the join, so a hot key is one row in it.
+    Values are counted per column and distinct key before the join, so a hot key is one row in it.
     """
-    out = None
+    names = list(FACT_REFERENCES)
+    used = (
+        fact.select([F.col(c).cast("string").alias(c) for c in names])
+        .unpivot([], names, "column_name", "k")
+        .groupBy("column_name", "k")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = None
     for column, (dim, key) in FACT_REFERENCES.items():
-        used = fact.groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        known = dims[dim].select(F.col(key).cast(fact.schema[column].dataType).alias("k"), F.lit(True).alias("known"))
-        part = used.join(known, "k", "left").agg(
-            F.lit(column).alias("column_name"),
-            F.coalesce(
-                F.sum(F.when(F.col("k").isNotNull() & F.col("known").isNull(), F.col("n"))), F.lit(0)
-            ).alias("orphans"),
-            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = dims[dim].select(F.lit(column).alias("column_name"), F.col(key).cast("string").alias("k")).distinct()
+        known = part if known is None else known.unionByName(part)
+    joined = used.join(known.withColumn("known", F.lit(True)), ["column_name", "k"], "left")
+    counted = joined.groupBy("column_name").agg(
+        F.sum(F.when(F.col("k").isNotNull() & F.col("known").isNull(), F.col("n"))).alias("orphans"),
+        F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("nulls"),
+    )
+    every = fact.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    zero = F.lit(0).cast("bigint")
+    return every.join(counted, "column_name", "left").select(
+        "column_name", F.coalesce("orphans", zero).alias("orphans"), F.coalesce("nulls", zero).alias("nulls")
+    )
 
 
 def check_references(fact: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:

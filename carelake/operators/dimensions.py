@@ -75,14 +75,14 @@ def dim_date(appointments: DataFrame, existing: DataFrame | None = None) -> Data
         F.min("created_at").alias("c0"),
         F.max("created_at").alias("c1"),
     )
-    days = (
-        bounds.select(
-            F.least("a0", "c0").cast("date").alias("first"),
-            F.greatest("a1", "c1").cast("date").alias("last"),
-        )
-        .filter(F.col("first").isNotNull())
-        .select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("d"))
+    # Years first, then the days of each year: a far-off date makes many tasks, not one long one.
+    ends = bounds.select(F.least("a0", "c0").cast("date").alias("first"), F.greatest("a1", "c1").cast("date").alias("last"))
+    years = ends.filter(F.col("first").isNotNull()).select(
+        "first", "last", F.explode(F.sequence(F.year("first"), F.year("last"))).alias("y")
     )
+    new_year, old_year = (F.make_date("y", F.lit(m), F.lit(d)) for m, d in ((1, 1), (12, 31)))
+    span = F.sequence(F.greatest("first", new_year), F.least("last", old_year), F.expr("interval 1 day"))
+    days = years.repartition("y").select(F.explode(span).alias("d")).filter(date_id("d").isNotNull())
     dates = days.select(
         date_id("d").alias("date_id"),
         F.col("d").alias("calendar_date"),
@@ -125,7 +125,7 @@ def dim_clinic(clinics: DataFrame, states: DataFrame) -> DataFrame:
     """One row per (name, city, state): the latest created, then the smallest source id."""
     latest = latest_per_key(
         clinics_with_state(clinics, states),
-        ["clinic_sk"],
+        ["name", "city", "state"],
         [F.col("created_at").desc_nulls_last()],
         [F.col("clinic_id").asc()],
     )
@@ -191,7 +191,7 @@ def dim_professional(
     wanted = _columns("dim_professional") if columns is None else columns
     df = latest_per_key(
         professionals_with_state(professionals, lookups["address_state"]),
-        ["professional_sk"],
+        ["full_name", "state"],
         [F.col("created_at").desc_nulls_last()],
         [F.col("professional_id").asc()],
     )
@@ -282,7 +282,7 @@ def null_after_use(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(types[c]) for c in columns})
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Column order and types of a model table."""
-    fields = T.StructType.fromDDL(MODEL_SCHEMAS[table]).fields
+def conform(df: DataFrame, table: str, schemas: Mapping[str, str] = MODEL_SCHEMAS) -> DataFrame:
+    """Column order and types of a model table or, by its ``schemas``, of a mart."""
+    fields = T.StructType.fromDDL(schemas[table]).fields
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])

@@ -106,28 +106,34 @@ def ratings_by(fact: DataFrame, dim_report: DataFrame, key: str) -> DataFrame:
 
 
 def mart_professionals(dim_professional: DataFrame, fact: DataFrame, dim_report: DataFrame) -> DataFrame:
-    completed = (
+    """One aggregation of the facts, per professional and report; reports are joined to its few rows."""
+    counted = (
         fact.filter(F.col("professional_id").isNotNull())
+        .groupBy("professional_id", "report_id")
+        .agg(F.count_if(status_is(COMPLETED)).alias("completed"), F.count(F.lit(1)).alias("n"))
+    )
+    rated = dim_report.filter(F.col("evaluation").isNotNull()).select("report_id", "evaluation")
+    totals = (
+        counted.join(rated, "report_id", "left")
         .groupBy("professional_id")
-        .agg(F.count_if(status_is(COMPLETED)).alias("total_appointments"))
+        .agg(
+            F.sum("completed").alias("total_appointments"),
+            F.sum(F.col("evaluation") * F.col("n")).alias("rating_sum"),
+            F.sum(F.when(F.col("evaluation").isNotNull(), F.col("n"))).alias("rating_count"),
+        )
     )
-    ratings = ratings_by(fact.filter(F.col("professional_id").isNotNull()), dim_report, "professional_id")
     rating = F.coalesce(exact_mean("rating_sum", "rating_count"), F.lit(0).cast("decimal(18,2)"))
-    return (
-        dim_professional.join(completed, "professional_id", "left")
-        .join(ratings, "professional_id", "left")
-        .select(
-            F.col("professional_id").alias("professional_sk"),
-            "sexual_orientation",
-            "ethnic_group",
-            "gender_identity",
-            "specialty",
-            "state",
-            "profile_status",
-            "active",
-            F.coalesce("total_appointments", F.lit(0)).alias("total_appointments"),
-            rating.alias("avg_feedback_rating"),
-        )
+    return dim_professional.join(totals, "professional_id", "left").select(
+        F.col("professional_id").alias("professional_sk"),
+        "sexual_orientation",
+        "ethnic_group",
+        "gender_identity",
+        "specialty",
+        "state",
+        "profile_status",
+        "active",
+        F.coalesce("total_appointments", F.lit(0)).alias("total_appointments"),
+        rating.alias("avg_feedback_rating"),
     )
 
 

@@ -10,6 +10,8 @@ from carelake.functions import clean
 from carelake.operators.dedup import any_per_key, latest_per_key, newest, newest_touched
 from carelake.schemas import Column, TableSpec
 
+ISO = clean.TimeRule()
+
 _KEEP = {
     "numeric": clean.keep_numeric_key,
     "nonblank": clean.keep_nonblank_key,
@@ -17,7 +19,7 @@ _KEEP = {
 }
 
 
-def _cleaned(column: Column, price_locale: str | None) -> SparkColumn:
+def _cleaned(column: Column, price_locale: str | None, times: clean.TimeRule) -> SparkColumn:
     rules = {
         "id": clean.clean_id,
         "trim": F.trim,
@@ -25,16 +27,18 @@ def _cleaned(column: Column, price_locale: str | None) -> SparkColumn:
         "asis": F.col,
         "int": clean.guarded_int,
         "bool": clean.parse_bool,
-        "time": clean.to_utc,
+        "time": lambda c: clean.to_utc(c, times),
         "price": lambda c: clean.parse_price(c, price_locale),
     }
     return rules[column.rule](column.source)
 
 
-def clean_rows(raw: DataFrame, spec: TableSpec, price_locale: str | None = None) -> DataFrame:
+def clean_rows(
+    raw: DataFrame, spec: TableSpec, price_locale: str | None = None, times: clean.TimeRule = ISO
+) -> DataFrame:
     """Eligible rows with typed columns, duplicates still in."""
     kept = _KEEP[spec.key_rule](raw, spec.raw_key)
-    typed = kept.select(*[_cleaned(c, price_locale).alias(c.target) for c in spec.columns])
+    typed = kept.select(*[_cleaned(c, price_locale, times).alias(c.target) for c in spec.columns])
     # A numeric key too large for its type cannot identify a row.
     return typed.filter(F.col(spec.key).isNotNull()) if spec.key_rule == "numeric" else typed
 
@@ -46,11 +50,15 @@ def deduplicate(typed: DataFrame, spec: TableSpec) -> DataFrame:
     return latest_per_key(typed, [spec.key], [order])
 
 
-def build_typed(raw: DataFrame, spec: TableSpec, price_locale: str | None = None) -> DataFrame:
-    return deduplicate(clean_rows(raw, spec, price_locale), spec)
+def build_typed(
+    raw: DataFrame, spec: TableSpec, price_locale: str | None = None, times: clean.TimeRule = ISO
+) -> DataFrame:
+    return deduplicate(clean_rows(raw, spec, price_locale, times), spec)
 
 
-def rejected_values(raw: DataFrame, spec: TableSpec, price_locale: str | None = None) -> DataFrame:
+def rejected_values(
+    raw: DataFrame, spec: TableSpec, price_locale: str | None = None, times: clean.TimeRule = ISO
+) -> DataFrame:
     """Per typed column, how many filled raw values could not be read: (column_name, rejected)."""
     lossy = [c for c in spec.columns if c.lossy]
     if not lossy:
@@ -58,7 +66,7 @@ def rejected_values(raw: DataFrame, spec: TableSpec, price_locale: str | None =
     counts = raw.agg(
         *[
             F.count_if(
-                clean.clean_id(c.source).isNotNull() & _cleaned(c, price_locale).isNull()
+                clean.clean_id(c.source).isNotNull() & _cleaned(c, price_locale, times).isNull()
             ).alias(c.target)
             for c in lossy
         ]

@@ -41,6 +41,20 @@ def upsert(
     return t.join(s, on, "full_outer").select(*[pick(c) for c in target.columns])
 
 
+def merge(target: DataFrame, src: DataFrame, keys: Sequence[str], only_new: bool = False) -> DataFrame:
+    """Target columns with ``_in_src`` and ``_in_target``: one join gives the result and all counts.
+
+    Keys compare null-safe.  With ``only_new`` rows that exist stay as they are; otherwise the source row replaces them.
+    """
+    here, there = F.lit(True).alias("_in_src"), F.lit(True).alias("_in_target")
+    s, t = src.select(*target.columns, here).alias("s"), target.select("*", there).alias("t")
+    on = reduce(Column.__and__, [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+    in_src, in_target = F.coalesce("_in_src", F.lit(False)), F.coalesce("_in_target", F.lit(False))
+    from_src = in_src & ~in_target if only_new else in_src
+    picked = [F.when(from_src, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in target.columns]
+    return t.join(s, on, "full_outer").select(*picked, in_src.alias("_in_src"), in_target.alias("_in_target"))
+
+
 def insert_new(target: DataFrame, src: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert new keys only; existing rows stay as they are."""
     fresh = src.select(*target.columns).join(target.select(*keys), list(keys), "left_anti")

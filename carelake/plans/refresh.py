@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.config import RefreshConfig
-from carelake.operators import dimensions, marts
+from carelake.operators import checks, dimensions, marts
 from carelake.operators.fact import fact_appointments, fact_rejects
-from carelake.operators.typed import build_typed, rejected_values
-from carelake.operators.upsert import insert_new, upsert, upsert_metrics
-from carelake.schemas import MODEL_KEYS, SPECS, TableSpec
+from carelake.functions.clean import TimeRule
+from carelake.operators.typed import ISO, build_typed, rejected_values
+from carelake.operators.upsert import merge
+from carelake.schemas import MART_SCHEMAS, MODEL_KEYS, NATURAL_KEYS, SPECS, TableSpec
 from carelake.session import tune
 from carelake.sources.readers import raw_table, read_source
 from carelake.sources.store import LayerStore
@@ -25,7 +26,7 @@ PARALLEL_TABLES = 8
 
 SUMMARY_DDL = (
     "layer string, table_name string, ok boolean, eligible bigint, inserted bigint,"
-    " updated bigint, table_rows bigint"
+    " updated bigint, table_rows bigint, message string, sample_inserted boolean"
 )
 
 
@@ -42,6 +43,8 @@ class TableResult:
     inserted: int
     updated: int
     table_rows: int
+    message: str = ""
+    sample_inserted: bool = False
 
 
 class Refresh:
@@ -64,14 +67,16 @@ class Refresh:
 
     def load_raw(self, spec: TableSpec) -> DataFrame:
         """A snapshot: it replaces the one of the previous run."""
-        raw = raw_table(self._load(spec.name), spec, self.cfg.fields, self.cfg.seed_empty_tables)
+        source = self._load(spec.name)
+        sampled = self.cfg.seed_empty_tables and source.isEmpty()
+        raw = raw_table(source, spec, self.cfg.fields, sampled)
         written = self.store.write(raw, "raw", spec.name)
         rows = written.count()
-        self._record("raw", spec.name, rows, rows, 0, rows)
+        self._record("raw", spec.name, rows, rows, 0, rows, sampled)
         return written
 
     def load_typed(self, spec: TableSpec, raw: DataFrame) -> DataFrame:
-        return self._merge(build_typed(raw, spec, self.cfg.price_locale), "typed", spec.name, spec.key)
+        return self._merge(build_typed(raw, spec, self.cfg.price_locale, self.cfg.fields.times), "typed", spec.name, [spec.key])
 
     def load_model(self, typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
         salt = self.cfg.key_salt
@@ -86,12 +91,13 @@ class Refresh:
         def build(name: str) -> DataFrame:
             only_new = name in ("dim_date", "dim_report")
             src = dimensions.conform(sources[name](), name)
-            return self._merge(src, "model", name, MODEL_KEYS[name], only_new)
+            return self._merge(src, "model", name, NATURAL_KEYS.get(name, [MODEL_KEYS[name]]), only_new)
 
-        model = self._each(sources, build)
+        model = self._each("model", sources, build)
         # Sorted files: row-group statistics prune reads by date.
-        fact = fact_appointments(typed, model, salt=salt).sortWithinPartitions("date_id")
-        model["fact_appointments"] = self._merge(fact, "model", "fact_appointments", MODEL_KEYS["fact_appointments"])
+        fact = fact_appointments(typed, model, salt=salt)
+        keys = [MODEL_KEYS["fact_appointments"]]
+        model["fact_appointments"] = self._merge(fact, "model", "fact_appointments", keys, sort_by="date_id")
         rejects = self.store.write(fact_rejects(typed["appointment"]), "model", "fact_rejects")
         rows = rejects.count()
         self._record("model", "fact_rejects", rows, rows, 0, rows)
@@ -114,54 +120,92 @@ class Refresh:
         }
 
         def build(name: str) -> DataFrame:
-            written = self.store.write(sources[name](), "mart", name)
+            written = self.store.write(dimensions.conform(sources[name](), name, MART_SCHEMAS), "mart", name)
             rows = written.count()
             self._record("mart", name, rows, rows, 0, rows)
             return written
 
-        return self._each(sources, build)
+        return self._each("mart", sources, build)
 
     # -- run ---------------------------------------------------------------------
 
     def run(self) -> DataFrame:
-        """All layers in order.  A failure raises before the next layer and before publishing."""
-        self.raw = self._timed("raw", lambda: self._each(SPECS, lambda n: self.load_raw(SPECS[n])))
+        """All layers in order, then the checks.  A failure raises before the next layer and before publishing."""
+        self.raw = self._timed("raw", lambda: self._each("raw", SPECS, lambda n: self.load_raw(SPECS[n])))
         self.typed = self._timed(
-            "typed", lambda: self._each(SPECS, lambda n: self.load_typed(SPECS[n], self.raw[n]))
+            "typed", lambda: self._each("typed", SPECS, lambda n: self.load_typed(SPECS[n], self.raw[n]))
         )
         self.model = self._timed("model", lambda: self.load_model(self.typed))
         self.marts = self._timed("mart", lambda: self.load_marts(self.model))
+        self._timed("check", self.check)
         self.store.publish()
+        self.store.retain(self.cfg.keep_runs)
         return self.summary()
 
+    def check(self) -> dict[str, DataFrame]:
+        """Every check on the tables of this run; violations stop it."""
+        model, pii = self.model, set(self.cfg.fields.pii)
+        found = {"duplicate_fingerprints": checks.check_duplicate_fingerprints(model["fact_appointments"])}
+        for dim, natural in NATURAL_KEYS.items():
+            found[f"collisions_{dim}"] = checks.check_surrogate_collisions(model[dim], MODEL_KEYS[dim], natural)
+        found["references"] = checks.check_references(model["fact_appointments"], model)
+        found["completed_totals"] = checks.check_completed_totals(self.marts["professional_appointments"], model["fact_appointments"])
+        for layer, tables in (("raw", self.raw), ("typed", self.typed)):
+            for name, df in tables.items():
+                if columns := [c for c in df.columns if c in pii]:
+                    found[f"pii_{layer}_{name}"] = checks.filled_counts(df, columns).filter("filled > 0")
+
+        def violations(name: str) -> int:
+            return found[name].limit(1000).count()
+
+        with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+            counts = dict(zip(found, pool.map(violations, found), strict=True))
+        if bad := {name: n for name, n in counts.items() if n}:
+            for name, n in bad.items():
+                self._fail("check", name, f"{n} violations")
+            raise RefreshFailed("checks: " + ", ".join(f"{name} ({n})" for name, n in bad.items()))
+        return {}
+
     def summary(self) -> DataFrame:
         rows = sorted(self.results, key=lambda r: (r.layer, r.table_name))
         return self.spark.createDataFrame([vars(r) for r in rows], SUMMARY_DDL)
 
     def rejected(self) -> DataFrame:
         """(table_name, column_name, rejected): filled raw values no rule could read."""
-        return rejected_report(self.raw, self.cfg.price_locale)
+        return rejected_report(self.raw, self.cfg.price_locale, self.cfg.fields.times)
 
     # -- helpers -----------------------------------------------------------------
 
-    def _merge(self, src: DataFrame, layer: str, name: str, key: str, only_new: bool = False) -> DataFrame:
-        """Upsert into the published table, written as a new version.
+    def _merge(
+        self, src: DataFrame, layer: str, name: str, keys: Sequence[str], only_new: bool = False, sort_by: str | None = None
+    ) -> DataFrame:
+        """Upsert into the published table, written as a new version: one join, the source read once.
 
-        Counts come from written tables, so a recomputed task cannot count twice.
+        Counts are observed in the tasks that write the result, where Spark counts each task once.
         """
+
+        def ordered(df: DataFrame) -> DataFrame:
+            return df.sortWithinPartitions(sort_by) if sort_by else df
+
         existing = self.store.read_published(layer, name)
         if existing is None:
-            written = self.store.write(src, layer, name)
+            written = self.store.write(ordered(src), layer, name)
             rows = written.count()
             self._record(layer, name, rows, rows, 0, rows)
             return written
-        # The source is read twice below, so it is computed once.
-        staged = self.store.write(src, f"{layer}_source", name)
-        merge = insert_new if only_new else upsert
-        written = self.store.write(merge(existing, staged, [key]), layer, name)
-        counts = upsert_metrics(existing, staged, [key]).first()
-        updated = 0 if only_new else counts.updated
-        self._record(layer, name, counts.eligible, counts.inserted, updated, written.count())
+        seen = Observation(f"{layer}-{name}")
+        fresh = F.col("_in_src") & ~F.col("_in_target")
+        # Sorted after the join, which leaves rows in the order of its keys.
+        merged = ordered(merge(existing, src, keys, only_new)).observe(
+            seen,
+            F.count_if(F.col("_in_src")).alias("eligible"),
+            F.count_if(fresh).alias("inserted"),
+            F.count(F.lit(1)).alias("table_rows"),
+        )
+        written = self.store.write(merged.drop("_in_src", "_in_target"), layer, name)
+        counts = seen.get
+        updated = 0 if only_new else counts["eligible"] - counts["inserted"]
+        self._record(layer, name, counts["eligible"], counts["inserted"], updated, counts["table_rows"])
         return written
 
     def _timed(self, layer: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
@@ -170,26 +214,41 @@ class Refresh:
         self.seconds[layer] = time.perf_counter() - start
         return tables
 
-    def _record(self, layer: str, name: str, eligible: int, inserted: int, updated: int, rows: int) -> None:
-        self.results.append(TableResult(layer, name, True, eligible, inserted, updated, rows))
+    def _record(
+        self, layer: str, name: str, eligible: int, inserted: int, updated: int, rows: int, sampled: bool = False
+    ) -> None:
+        self.results.append(TableResult(layer, name, True, eligible, inserted, updated, rows, "", sampled))
+
+    def _fail(self, layer: str, name: str, message: str) -> None:
+        self.results.append(TableResult(layer, name, False, 0, 0, 0, 0, message))
+
+    def _each(self, layer: str, names: Iterable[str], build: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+        """Builds every table, then fails if one failed: the summary has a row for each."""
 
-    def _each(self, names: Iterable[str], build: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
-        def guarded(name: str) -> DataFrame:
+        def guarded(name: str) -> DataFrame | Exception:
             try:
                 return build(name)
-            except Exception as error:
-                raise RefreshFailed(f"{name}: {error}") from error
+            except Exception as error:  # noqa: BLE001  raised below, once all tables have been tried
+                self._fail(layer, name, f"{type(error).__name__}: {error}")
+                return error
 
         with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-            return dict(zip(names, pool.map(guarded, names), strict=True))
+            built = dict(zip(names, pool.map(guarded, names), strict=True))
+        failed = {name: error for name, error in built.items() if isinstance(error, Exception)}
+        if failed:
+            first = next(iter(failed.values()))
+            raise RefreshFailed("; ".join(f"{name}: {error}" for name, error in failed.items())) from first
+        return built
 
 
-def rejected_report(raw: dict[str, DataFrame], price_locale: str | None = None) -> DataFrame:
+def rejected_report(
+    raw: dict[str, DataFrame], price_locale: str | None = None, times: TimeRule = ISO
+) -> DataFrame:
     out = None
     for name, df in raw.items():
         if not any(c.lossy for c in SPECS[name].columns):
             continue
-        part = rejected_values(df, SPECS[name], price_locale).select(
+        part = rejected_values(df, SPECS[name], price_locale, times).select(
             F.lit(name).alias("table_name"), "column_name", "rejected"
         )
         out = part if out is None else out.unionByName(part)

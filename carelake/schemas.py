@@ -252,6 +252,7 @@ SEED_ROWS: dict[str, dict[str, str]] = {
 
 
 # Model and mart layouts, as DDL.
+# Column names of the star schema.
 MODEL_SCHEMAS: dict[str, str] = {
     "dim_date": (
         "date_id int, calendar_date date, day int, month int, year int, week int, quarter int"
@@ -294,11 +295,20 @@ MODEL_KEYS = {
     "fact_appointments": "appointment_fingerprint",
 }
 
+# What makes a row of a dimension itself; the key above is a hash of it.
+NATURAL_KEYS = {
+    "dim_report": ("created_at", "feedback", "evaluation"),
+    "dim_clinic": ("name", "city", "state"),
+    "dim_professional": ("full_name", "state"),
+    "dim_patient": ("patient_key",),
+}
+
+# Column names of the marts.
 MART_SCHEMAS: dict[str, str] = {
     "patients": (
         "period_month date, age_group string, gender_identity string, sexual_orientation string,"
         " ethnic_group string, total_patients bigint, active_patients bigint,"
-        " inactive_patients bigint, active_percentage decimal(12,2), growth_rate decimal(12,2)"
+        " inactive_patients bigint, active_percentage decimal(24,2), growth_rate decimal(24,2)"
     ),
     "patient_disability": (
         "period_month date, disability_type string, total_patients bigint, active_patients bigint,"
@@ -314,8 +324,8 @@ MART_SCHEMAS: dict[str, str] = {
         " total_appointments bigint, completed_appointments bigint,"
         " completed_appointments_online bigint, completed_appointments_presencial bigint,"
         " cancelled_appointments_online bigint, cancelled_appointments_presencial bigint,"
-        " completion_rate decimal(12,2), cancellation_rate_online decimal(12,2),"
-        " cancellation_rate_presencial decimal(12,2), avg_waiting_time decimal(18,2),"
+        " completion_rate decimal(24,2), cancellation_rate_online decimal(24,2),"
+        " cancellation_rate_presencial decimal(24,2), avg_waiting_time decimal(18,2),"
         " created_at date"
     ),
 }

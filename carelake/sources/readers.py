@@ -24,17 +24,21 @@ def read_source(spark: SparkSession, cfg: SourceConfig, table: str) -> DataFrame
     """One source table; Spark splits the scan, nothing passes through the driver."""
     options = {**cfg.options, **cfg.table_options.get(table, {})}
     if cfg.format == "csv":
-        # Text stays text: no schema inference, no extra pass.  Free text may hold line breaks,
-        # so a file is one split: export many files, or set multiLine=false where none occur.
-        options = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"', **options}
+        # Text stays text: no schema inference, no extra pass.
+        options = {"header": "true", "inferSchema": "false", "escape": '"', **options}
+        if "multiLine" not in options:
+            raise ValueError(
+                "say for csv whether values hold line breaks: multiLine=false lets Spark split files,"
+                " multiLine=true reads each file, of any size, in one task"
+            )
     try:
         if cfg.format in _FILE_FORMATS:
             return _read_files(spark, cfg, table, options)
-        name = f"{cfg.database}.{table}" if cfg.database else table
         if cfg.format == "table":
-            return spark.table(name)
+            return spark.table(quoted_name(cfg.database, table, "`"))
         if cfg.format == "jdbc":
-            return spark.read.format("jdbc").options(**options).option("dbtable", name).load()
+            options = jdbc_options(cfg.database, table, options)
+            return spark.read.format("jdbc").options(**options).load()
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
             raise SourceTableMissing(f"source table {table!r} not found") from error
@@ -42,6 +46,25 @@ def read_source(spark: SparkSession, cfg: SourceConfig, table: str) -> DataFrame
     raise ValueError(f"unknown source format: {cfg.format!r}")
 
 
+def quoted_name(database: str | None, table: str, quote: str) -> str:
+    """Every part quoted, since a schema's name may hold a hyphen; ``database`` may have several parts."""
+    parts = [*(database.split(".") if database else []), table]
+    return ".".join(quote + part.replace(quote, quote * 2) + quote for part in parts)
+
+
+_PARTITIONING = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def jdbc_options(database: str | None, table: str, options: Mapping[str, str]) -> dict[str, str]:
+    """Options of a jdbc read, with its quoted name (``quote`` sets the sign, ``"`` by default)."""
+    options = dict(options)
+    single = options.pop("singlePartition", "false").lower() == "true"
+    name = quoted_name(database, table, options.pop("quote", '"'))
+    if not single and not all(o in options for o in _PARTITIONING):
+        raise ValueError(f"{table}: set {', '.join(_PARTITIONING)}, or singlePartition=true to read it in one task")
+    return {**options, "dbtable": options.get("dbtable", name)}
+
+
 def _read_files(spark: SparkSession, cfg: SourceConfig, table: str, options: Mapping[str, str]) -> DataFrame:
     reader = spark.read.format(cfg.format).options(**options)
     try:
@@ -117,4 +140,5 @@ def raw_table(source: DataFrame, spec: TableSpec, fields: FieldMap, seed: bool =
     # PII columns are nulled before they are cast, so their bytes are never read.
     aligned = null_pii(align(renamed, spec.raw_columns), fields.pii)
     raw = apply_value_maps(to_text(aligned), fields, spec.name)
-    return seed_if_empty(raw, SEED_ROWS.get(spec.name, {})) if seed else raw
+    # The sample row holds personal data of nobody; it is nulled like any other.
+    return null_pii(seed_if_empty(raw, SEED_ROWS.get(spec.name, {})), fields.pii) if seed else raw

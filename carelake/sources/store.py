@@ -1,14 +1,14 @@
 """Layer tables as versioned Parquet directories, published together.
 
 A run writes every table under its own run id and only then appends one manifest row per
-table.  Readers use the newest manifest, so they see either the whole run or none of it,
-and a run never overwrites what it reads.
+table.  Readers use the manifest published last, so they see either the whole run or none of it,
+and a run never overwrites what it reads.  A manifest names the run it was built on; a run whose
+base is no longer the last one refuses to publish, so overlapping runs lose nothing silently.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -16,7 +16,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MANIFEST_DDL = "run_id string, layer string, table_name string, path string"
+_MANIFEST_DDL = "run_id string, layer string, table_name string, path string, base_run string, published bigint"
+
+
+class PublishConflict(RuntimeError):
+    """Another run was published since this one read its base."""
 
 
 class LayerStore:
@@ -25,19 +29,28 @@ class LayerStore:
         self.root = root.rstrip("/")
         self.run_id = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
         self._written: list[tuple[str, str, str, str]] = []
-        self._published = self._read_manifest()
+        self._base, self._number, self._published = self._read_manifest()
 
-    def _read_manifest(self) -> dict[tuple[str, str], str]:
+    def _manifest(self) -> DataFrame | None:
         try:
-            manifest = self.spark.read.schema(_MANIFEST_DDL).json(f"{self.root}/manifest")
+            return self.spark.read.schema(_MANIFEST_DDL).json(f"{self.root}/manifest")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return {}
+                return None
             raise
+
+    def _read_manifest(self) -> tuple[str | None, int, dict[tuple[str, str], str]]:
+        """The run published last, its number and its tables."""
+        manifest = self._manifest()
+        if manifest is None:
+            return None, 0, {}
         # One row per table of one run, so this is safe to bring to the driver.
-        newest = manifest.agg(F.max("run_id").alias("run_id"))
+        number = F.coalesce("published", F.lit(0))
+        newest = manifest.agg(F.max(F.struct(number.alias("number"), "run_id")).alias("last")).select("last.*")
         rows = manifest.join(newest, "run_id").collect()
-        return {(r.layer, r.table_name): r.path for r in rows}
+        if not rows:
+            return None, 0, {}
+        return rows[0].run_id, rows[0].number, {(r.layer, r.table_name): r.path for r in rows}
 
     def read_published(self, layer: str, table: str) -> DataFrame | None:
         """The table as of the last published run, or None before the first."""
@@ -53,32 +66,55 @@ class LayerStore:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self) -> None:
-        manifest = self.spark.createDataFrame(self._written, _MANIFEST_DDL).coalesce(1)
+        last = self._read_manifest()[0]
+        if last != self._base:
+            raise PublishConflict(f"run {last} was published after {self._base}, which this run was built on")
+        self._number += 1
+        rows = [(*w, self._base, self._number) for w in self._written]
+        manifest = self.spark.createDataFrame(rows, _MANIFEST_DDL).coalesce(1)
         manifest.write.mode("append").json(f"{self.root}/manifest")
+        self._base = self.run_id
         self._published = {(layer, table): path for _, layer, table, path in self._written}
 
+    def retain(self, runs: int) -> int:
+        """Deletes the tables of all but the newest published ``runs``; returns how many runs went."""
+        manifest = self._manifest()
+        if manifest is None:
+            return 0
+        # One row per run and table: as bounded as the number of runs ever published.
+        number = F.coalesce("published", F.lit(0))
+        order = [r.run_id for r in manifest.groupBy("run_id").agg(F.max(number).alias("n")).orderBy(F.desc("n"), F.desc("run_id")).collect()]
+        gone = set(order[max(runs, 1) :])
+        deleted = set()
+        for r in manifest.select("run_id", "path").collect():
+            if r.run_id in gone and delete_path(self.spark, r.path):
+                deleted.add(r.run_id)
+        return len(deleted)
 
-_local_scratch: dict[str, str] = {}
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the session names.
 
-    Only a local session may go without; it gets a temporary folder of its own.
-    """
+def scratch_root(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the one the session names, else one under its warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if context.applicationId not in _local_scratch:
-            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="carelake-")
-        shared = _local_scratch[context.applicationId]
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, deleted when the session's JVM ends."""
+    path = f"{scratch_root(spark)}/carelake/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, for tables that are used more than once."""
-    path = f"{scratch_root(df.sparkSession)}/carelake/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

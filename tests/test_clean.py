@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelake import functions as fn
+from carelake.functions.clean import TimeRule, to_utc
+from carelake.functions.measures import date_id, pct
+from carelake.operators.dimensions import dim_date
 
 
 def apply(spark, rule, values):
@@ -125,3 +128,42 @@ def test_date_keys(spark):
     df = spark.createDataFrame([("2021-01-01",)], "d string").select(F.col("d").cast("date").alias("d"))
     row = df.select(fn.date_id("d").alias("i"), fn.month_of_date_id(fn.date_id("d")).alias("m")).first()
     assert (row.i, row.m) == (20210101, dt.date(2021, 1, 1))
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("2020-01-01T09:00-03:00", "2020-01-01 12:00:00"),
+        ("2020-01-01T09:00Z", "2020-01-01 09:00:00"),
+        ("2020-01-01 09:00+03", "2020-01-01 06:00:00"),
+        ("20200101", "2020-01-01 00:00:00"),
+        ("20200101T093000Z", "2020-01-01 09:30:00"),
+        ("2020/01/01", "2020-01-01 00:00:00"),
+        ("01/02/2020", "2020-01-02 00:00:00"),
+        ("31-Jan-2020 10:05 PM", "2020-01-31 22:05:00"),
+        ("Jan 5, 2020", "2020-01-05 00:00:00"),
+        ("2020-13-01", None),
+        ("2020", None),
+        ("09:00", None),
+        ("2020-01-01 25:00", None),
+        ("2020-02-30", None),
+    ],
+)
+def test_times_in_other_forms(spark, text, expected):
+    got = spark.createDataFrame([(text,)], "t string").select(to_utc("t").cast("string").alias("u")).first().u
+    assert got == expected
+
+
+def test_times_by_a_partner_s_rule(spark):
+    rule = TimeRule("dmy", "America/Sao_Paulo", "s")
+    df = spark.createDataFrame([("01/02/2020",), ("2020-01-01",), ("2020-01-01T09:00Z",), ("1577836800",)], "t string")
+    got = [r.u for r in df.select(to_utc("t", rule).cast("string").alias("u")).collect()]
+    assert got == ["2020-02-01 03:00:00", "2020-01-01 03:00:00", "2020-01-01 09:00:00", "2020-01-01 00:00:00"]
+
+
+def test_far_off_dates_end_no_run(spark):
+    df = spark.createDataFrame([("250000-01-01",), ("99999-01-01",), ("2020-01-01",)], "t string").select(to_utc("t").alias("t"))
+    assert sorted((r.i for r in df.select(date_id("t").alias("i")).collect()), key=lambda x: x or 0) == [None, 20200101, 999990101]
+    days = dim_date(df.filter("t < timestamp '2100-01-01'").select(F.col("t").alias("appointment_date"), F.lit("2400-01-01").cast("timestamp_ntz").alias("created_at")))
+    assert days.count() == 138793
+    assert spark.range(1).select(pct(F.col("id") + 9223372036854775807, F.col("id") + 1).alias("p")).first().p is not None

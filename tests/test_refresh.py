@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from carelake.config import FieldMap, RefreshConfig, SourceConfig
 from carelake.operators import checks
 from carelake.operators.fact import fact_appointments
+from carelake.operators.upsert import merge
 from carelake.plans.refresh import Refresh, RefreshFailed, run_refresh, summary_totals
 from carelake.schemas import SPECS
-from carelake.sources.readers import SourceTableMissing, read_source
-from carelake.sources.store import LayerStore
+from carelake.sources.readers import SourceTableMissing, jdbc_options, quoted_name, read_source
+from carelake.sources.store import LayerStore, PublishConflict
 from verification.oracle import AS_OF
 from verification.standin import DriverTables, source_table
 
@@ -138,7 +139,8 @@ def test_file_formats(spark, tmp_path, fmt):
     df = spark.createDataFrame([("1", 'a "quoted"\nline'), ("2", None)], "id string, name string")
     writer = df.coalesce(1).write.format(fmt)
     (writer.option("header", "true").option("escape", '"') if fmt == "csv" else writer).save(f"{tmp_path}/people")
-    got = read_source(spark, SourceConfig(format=fmt, path=str(tmp_path)), "people")
+    options = {"multiLine": "true"} if fmt == "csv" else {}
+    got = read_source(spark, SourceConfig(format=fmt, path=str(tmp_path), options=options), "people")
     assert sorted(got.select("id", "name").collect()) == sorted(df.collect(), key=lambda r: r.id)
 
 
@@ -168,3 +170,80 @@ def test_partner_names_and_empty_tables(spark, source, tmp_path):
     assert summary["typed", "user"] == 1
     fact = LayerStore(spark, cfg.root).read_published("model", "fact_appointments").first()
     assert (fact.status, fact.type, fact.date_id) == ("completed", "Online", 20200101)
+
+
+def test_sources_that_one_task_would_read_must_say_so(spark):
+    with pytest.raises(ValueError, match="multiLine"):
+        read_source(spark, SourceConfig(format="csv", path="/nowhere"), "people")
+    with pytest.raises(ValueError, match="singlePartition"):
+        jdbc_options("my-db", "user", {"url": "x"})
+    got = jdbc_options('my-db.a"b', "user", {"url": "x", "singlePartition": "true"})
+    assert got == {"url": "x", "dbtable": '"my-db"."a""b"."user"'}
+    assert quoted_name("my-db", "user", "`") == "`my-db`.`user`"
+
+
+def test_catalog_names_are_quoted(spark):
+    # Spark's own catalog holds no such database, but the name now reaches it.
+    with pytest.raises(SourceTableMissing):
+        read_source(spark, SourceConfig(format="table", database="my-db"), "people")
+    spark.range(3).createOrReplaceTempView("people_view")
+    assert read_source(spark, SourceConfig(format="table"), "people_view").count() == 3
+
+
+def test_merge_goes_by_natural_keys_and_checks_find_collisions(spark):
+    old = spark.createDataFrame([(1, "a", None, 1), (2, "b", "x", 1)], "id bigint, name string, city string, v int")
+    new = spark.createDataFrame([(1, "c", None, 2), (1, "a", None, 3)], "id bigint, name string, city string, v int")
+    merged = merge(old, new, ["name", "city"])
+    rows = {(r.name, r.v, r._in_src, r._in_target) for r in merged.collect()}
+    assert rows == {("a", 3, True, True), ("b", 1, False, True), ("c", 2, True, False)}
+    assert [r.id for r in checks.check_surrogate_collisions(merged, "id", ["name", "city"]).collect()] == [1]
+    kept = {(r.name, r.v) for r in merge(old, new, ["name", "city"], only_new=True).collect()}
+    assert kept == {("a", 1), ("b", 1), ("c", 2)}
+
+
+class _Broken(Refresh):
+    def load_typed(self, spec, raw):
+        if spec.name in ("report", "clinic"):
+            raise ValueError(f"{spec.name} is broken")
+        return super().load_typed(spec, raw)
+
+
+def test_summary_names_every_failed_table(spark, source, tmp_path):
+    run = _Broken(spark, RefreshConfig(root=str(tmp_path), source=source, as_of=AS_OF))
+    with pytest.raises(RefreshFailed, match="clinic is broken.*report is broken|report is broken.*clinic is broken"):
+        run.run()
+    rows = {(r.layer, r.table_name): r for r in run.summary().collect()}
+    assert len(rows) == 2 * len(SPECS)
+    assert {n for (la, n), r in rows.items() if not r.ok} == {"report", "clinic"}
+    assert "report is broken" in rows["typed", "report"].message and rows["typed", "report"].table_rows == 0
+
+
+def test_a_check_stops_a_run_before_it_is_published(spark, source, tmp_path, monkeypatch):
+    violation = spark.range(1).select(F.lit("k").alias("appointment_fingerprint"), F.lit(2).alias("n"))
+    monkeypatch.setattr(checks, "check_duplicate_fingerprints", lambda fact: violation)
+    run = Refresh(spark, RefreshConfig(root=str(tmp_path), source=source, as_of=AS_OF))
+    with pytest.raises(RefreshFailed, match="duplicate_fingerprints"):
+        run.run()
+    assert LayerStore(spark, str(tmp_path)).read_published("raw", "appointment") is None
+
+
+def test_overlapping_runs_do_not_overwrite_each_other(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first, second = LayerStore(spark, root), LayerStore(spark, root)
+    for store, value in ((second, 2), (first, 1)):
+        store.write(spark.createDataFrame([(value,)], "v int"), "raw", "t")
+    second.publish()
+    with pytest.raises(PublishConflict):
+        first.publish()
+    assert LayerStore(spark, root).read_published("raw", "t").first().v == 2
+
+
+def test_old_runs_are_deleted(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for value in range(4):
+        store = LayerStore(spark, root)
+        store.write(spark.createDataFrame([(value,)], "v int"), "raw", "t")
+        store.publish()
+    assert store.retain(2) == 2 and store.retain(2) == 0
+    assert LayerStore(spark, root).read_published("raw", "t").first().v == 3
+    assert len(list((tmp_path / "store" / "raw" / "t").iterdir())) == 2
