@@ -11,26 +11,31 @@ their tokens. Repeated rows are all written. An empty table gives files without
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carelake.llm.bpe import SETTLED
 from carelake.llm.common import ship, text_of
 
 #: Pieces between white space whose ids a worker remembers: the newest so many, and those used again of as many before.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 300_000, 40
 END_ID = 1
+SUFFIX = "</w>"
 STRIPE_BYTES, ROW_GROUP = 64 << 20, 10_000
 BATCH_BYTES = 8 << 20
 
 
 class PieceEncoder:
-    """The tokenizers library, asked once for each piece between white space.
+    """The tokenizers library, asked once for each piece between white space that is not remembered.
 
-    Right for tokenizers that drop white space, cut there, and look at no neighbour across it.
+    Right for tokenizers that drop white space, cut there, mark the ends of words, and look at no neighbour across it.
+    Unknown words of a text are asked for together; the marks tell their ids apart.
     """
 
     def __init__(self, content: str) -> None:
@@ -40,33 +45,55 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        coded = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split() for t in texts]
-        known = self.new
-        missing = []
-        for piece in {p for pieces in cut for p in pieces if p not in known}:
-            if (found := self.old.get(piece)) is not None:
-                known[piece] = found
+    def whole(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers, from the library itself."""
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; one question if every word has one mark."""
+        ids = array("I", self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1).tolist()
+        if len(stops) != len(words):
+            return [self.whole(w) for w in words]
+        packed = ids.tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, piece by piece; pieces that are encoded alike are made equal first."""
+        if "<|" not in text and "Σ" not in text and (text.isascii() or SETTLED.fullmatch(text)):
+            text = text.lower()
+        pieces = STOPS.sub(r" \1", text).split()
+        found = list(map(self.new.get, pieces))
+        if None not in found:
+            return b"".join(found)
+        old, learnt, words = self.old.get, {}, []
+        for piece in {p for p, f in zip(pieces, found, strict=True) if f is None}:
+            if (packed := old(piece)) is not None:
+                learnt[piece] = packed
+            elif piece.isalpha():
+                words.append(piece)
             else:
-                missing.append(piece)
-        known.update(zip(missing, self._ask(missing), strict=True))
-        get = known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        if len(known) > REMEMBERED:
-            self.old, self.new = {p: i for p, i in known.items() if len(p) <= LONGEST}, {}
+                learnt[piece] = self.whole(piece)
+        if words:
+            learnt.update(zip(words, self._ask(words), strict=True))
+        out = b"".join([f if f is not None else learnt[p] for f, p in zip(found, pieces, strict=True)])
+        self.new.update(learnt if len(text) <= LONGEST else {p: packed for p, packed in learnt.items() if len(p) <= LONGEST})
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         return out
 
 
+#: A full stop or comma after a letter or digit at the end of a piece: the tokenizer cuts there in any case, but after a
+#: letter whose lower case ends in a mark.
+STOPS = re.compile(r"(?<=[^\W_İ])([.,])(?=\s|\Z)")
 #: Python takes these for white space, the tokenizer does not: such texts go to the library as a whole.
-_ODD = dict.fromkeys(range(0x1C, 0x20))
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def with_ids(df: DataFrame, spec: str, text: str = "text", id_column: str = "doc_id", end_id: int = END_ID) -> DataFrame:
@@ -87,13 +114,7 @@ def with_ids(df: DataFrame, spec: str, text: str = "text", id_column: str = "doc
                     held += len(texts[at])
                     at += 1
                 some = texts[first:at]
-                plain = [i for i, t in enumerate(some) if not any(chr(c) in t for c in _ODD)]
-                coded: list = [None] * len(some)
-                for i, c in zip(plain, encoder.encode([some[i] for i in plain]), strict=True):
-                    coded[i] = c
-                for i, c in enumerate(coded):
-                    if c is None:
-                        coded[i] = encoder._ask([some[i]])[0]
+                coded = [encoder.whole(t) if any(c in t for c in _ODD) else encoder.encode(t) for t in some]
                 sizes = np.array([0, *[len(c) // 4 + 1 for c in coded]], np.int64).cumsum()
                 values = np.frombuffer(b"".join([c + end for c in coded]), "<u4").astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
@@ -139,7 +160,8 @@ def placed(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFra
     rows = stored.select(F.col(id_column).alias("id"), F.input_file_name().alias("file"), "ids")
     rows = rows.mapInArrow(_sums, f"id {kind}, file string, n_tokens long, ids_crc32 long")
     # all files' rows in one order: files by their least id, rows by id, crc and size where ids repeat
-    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("id").alias("least"))
+    counts = stored.select(F.col(id_column).alias("id"), F.input_file_name().alias("file"), F.size("ids").cast("long").alias("n"))
+    sizes = counts.groupBy("file").agg(F.sum("n").alias("n"), F.min("id").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("file", before.alias("offset"))
     within = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
