@@ -6,7 +6,7 @@ table is one projection inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,34 +85,59 @@ def parse_bool(c: Column | str) -> Column:
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _replaced(t: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, form in steps:
+        t = F.regexp_replace(t, pattern, form)
+    return t
+
+
 def _dashed(t: Column, order: str) -> Column:
-    """The other ways to write a date, as year-month-day; then times without seconds or signs, and short zones."""
+    """The other ways to write a date, as year-month-day; a month's name may still stand in the middle."""
     slashed = "$3-$1-$2" if order == "mdy" else "$3-$2-$1"
-    steps = (
-        (r"\A([0-9]{4})([0-9]{2})([0-9]{2})(?=\z|[Tt ])", "$1-$2-$3"),
-        (r"\A([0-9]{4,6})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3"),
-        (r"\A([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", slashed),
-        (r"\A([A-Za-z]{3,9})[- ]([0-9]{1,2})[-, ]+([0-9]{4})", "$3-$1-$2"),
-        (r"\A([0-9]{1,2})[- ]([A-Za-z]{3,9})[-, ]+([0-9]{4})", "$3-$2-$1"),
+    return _replaced(
+        t,
+        (
+            (r"\A([0-9]{4})([0-9]{2})([0-9]{2})(?=\z|[Tt ])", "$1-$2-$3"),
+            (r"\A([0-9]{4,6})[/.]([0-9]{1,2})[/.]([0-9]{1,2})", "$1-$2-$3"),
+            (r"\A([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", slashed),
+            (r"\A([A-Za-z]{3,9})[- ]([0-9]{1,2})[-, ]+([0-9]{4})", "$3-$1-$2"),
+            (r"\A([0-9]{1,2})[- ]([A-Za-z]{3,9})[-, ]+([0-9]{4})", "$3-$2-$1"),
+        ),
     )
-    for pattern, form in steps:
-        t = F.regexp_replace(t, pattern, form)
+
+
+def _month_number(t: Column) -> Column:
     name = F.lower(F.regexp_extract(t, r"\A[0-9]{4,6}-([A-Za-z]{3})[a-z]*-", 1))
     # 1 to 12 by the name's place in the list; a name that is none gives 0, which no cast reads
     month = F.concat(F.lit("-"), F.ceil(F.instr(F.lit(_MONTHS), name) / 3).cast("string"), F.lit("-"))
-    t = F.when(name == "", t).otherwise(F.regexp_replace(t, F.lit("-[A-Za-z]+-"), month))
-    steps = (
-        (r"(?<=[0-9])(?:[Tt]|[ ]+)(?=[0-9])", "T"),
-        (r"T([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2"),
-        (r"T([0-9]{2})([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:$3"),
-        (r"T([0-9]{1,2}):([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:00"),
-        (r"[ ]*(?:[Zz]|UTC|GMT)\z", "Z"),
-        (r"[ ]+(?=[+-][0-9:]+\z)", ""),
-        (r"(:[0-9]{2}(?:\.[0-9]+)?[+-])([0-9])(?=\z|:)", "$10$2"),
+    return F.when(name == "", t).otherwise(F.regexp_replace(t, F.lit("-[A-Za-z]+-"), month))
+
+
+def _full_clock(t: Column) -> Column:
+    """Times without seconds or signs, and short zones, as Spark reads them."""
+    return _replaced(
+        t,
+        (
+            (r"(?<=[0-9])(?:[Tt]|[ ]+)(?=[0-9])", "T"),
+            (r"T([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2"),
+            (r"T([0-9]{2})([0-9]{2})([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:$3"),
+            (r"T([0-9]{1,2}):([0-9]{2})(?=\z|[^0-9:])", "T$1:$2:00"),
+            (r"[ ]*(?:[Zz]|UTC|GMT)\z", "Z"),
+            (r"[ ]+(?=[+-][0-9:]+\z)", ""),
+            (r"(:[0-9]{2}(?:\.[0-9]+)?[+-])([0-9])(?=\z|:)", "$10$2"),
+        ),
     )
-    for pattern, form in steps:
-        t = F.regexp_replace(t, pattern, form)
-    return t
+
+
+def _instant(t: Column) -> Column:
+    twelve_hours = F.regexp_replace(F.upper(t), "[ ]*([AP]M)", " $1")
+    half = F.try_to_timestamp(twelve_hours, F.lit("y-M-d'T'h:mm:ss a"))
+    return F.when(t.rlike(_HALF_DAY), half).when(t.rlike(_FULL_DATE), t.try_cast("timestamp"))
 
 
 def as_utc_timestamp(c: Column | str, rule: TimeRule = TimeRule()) -> Column:  # noqa: B008
@@ -122,14 +147,8 @@ def as_utc_timestamp(c: Column | str, rule: TimeRule = TimeRule()) -> Column:  #
     GMT, or an offset of hours with or without minutes.
     """
     t = F.trim(_col(c))
-    dashed = _dashed(t, rule.order)
-    twelve_hours = F.regexp_replace(F.upper(dashed), "[ ]*([AP]M)", " $1")
-    half = F.try_to_timestamp(twelve_hours, F.lit("y-M-d'T'h:mm:ss a"))
-    read = (
-        F.when(t.rlike(_PLAIN_TIME), t.try_cast("timestamp"))
-        .when(t.rlike(_HALF_DAY), half)
-        .when(dashed.rlike(_FULL_DATE), dashed.try_cast("timestamp"))
-    )
+    other = _let(_dashed(t, rule.order), lambda d: _let(_full_clock(_month_number(d)), _instant))
+    read = F.when(t.rlike(_PLAIN_TIME), t.try_cast("timestamp")).otherwise(other)
     if rule.zone != "UTC":
         read = F.when(t.rlike(_ZONED), read).otherwise(F.to_utc_timestamp(read, rule.zone))
     if rule.epoch is None:
