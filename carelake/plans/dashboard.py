@@ -306,6 +306,7 @@ def q_patients_filtered(
 # --- samples of the typed layer ---------------------------------------------------
 
 # Table -> (shown columns, leading order column or None for the key alone); newest twenty rows.
+# Sample columns of the dashboard's tables.
 SAMPLES: dict[str, tuple[tuple[str, ...], str | None]] = {
     "privacydocument": (("id", "created_at", "updated_at", "profile_type"), None),
     "appointment": (("id", "appointment_date", "status", "professional_id", "user_id"), "appointment_date"),

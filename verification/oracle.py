@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import re
 
-from carelake.functions.clean import FALSE_WORDS, MODALITY, TRUE_WORDS
 from carelake.schemas import PII_COLUMNS, SPECS, Column, TableSpec
 from verification.standin import DuckDialect, source_selects
 
 AS_OF = "2025-02-28"
 
+# Fixed values, written out here so that a wrong entry in the code under test shows.
+TRUE_WORDS = ("true", "t", "1", "yes", "y", "sim", "s")
+FALSE_WORDS = ("false", "f", "0", "no", "n", "nao", "não")
+MODALITY = {
+    "Online": ("online", "telemed", "teleconsulta", "remote", "remoto", "video"),
+    "Presencial": ("presencial", "clinic", "local", "face-to-face"),
+}
+
 
 def _words(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
