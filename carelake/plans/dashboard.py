@@ -70,6 +70,22 @@ def q_top_disabilities(disability: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
+def q_disability_share(disability: DataFrame) -> DataFrame:
+    """Patients per type over all months, with the share of the total in percent.
+
+    One row per type name meets the one row of the total.
+    """
+    per_type = disability.groupBy("disability_type").agg(F.sum("total_patients").alias("total_patients"))
+    one = F.lit(1).alias("_one")
+    total = per_type.agg(F.sum("total_patients").alias("_total")).select("_total", one)
+    return (
+        per_type.select("*", one)
+        .join(total, "_one")
+        .select("disability_type", "total_patients", pct("total_patients", "_total").alias("share"))
+        .orderBy(F.col("total_patients").desc(), "disability_type")
+    )
+
+
 def q_top_specialties(professionals: DataFrame) -> DataFrame:
     return (
         professionals.groupBy(label("specialty", SPECIALTY_NOT_INFORMED).alias("specialty"))

@@ -686,6 +686,13 @@ register(
     where period_month = (select max(period_month) from mart_groups)
     order by total_patients desc nulls last, disability_type limit 10""",
 )(_top_disabilities)
+register(
+    "q15_disability_share",
+    f"""select disability_type, total_patients, {hundredths(oracle.pct_h('total_patients', 'total'))} as share
+    from (select disability_type, cast(sum(total_patients) as bigint) as total_patients,
+            cast(sum(sum(total_patients)) over () as bigint) as total
+        from mart_patient_disability group by 1)""",
+)(lambda q: dashboard.q_disability_share(q.mart_disability))
 register(
     "q4_top_specialties",
     f"""select coalesce(specialty, 'Não informada') as specialty,
