@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import map_rows, written
+from carelake.llm.common import BROADCAST_ROWS, map_rows, written
 
 LONG_WORDS, LEAST_LINES = 50, 2
 _MIX = 0x9E3779B97F4A7C15
@@ -93,11 +93,15 @@ def dedup_lines(df: DataFrame, keep: tuple[str, ...] = (), text: str = "text", i
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "key", "no")
     repeated = placed.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     repeated = written(repeated, "repeated")
-    others = placed.join(repeated, "digest").where(~place.eqNullSafe(F.col("first"))).select("doc", "key", "no", "digest")
     firsts = repeated.groupBy("first.doc", "first.key").agg(F.collect_list("first.no").alias("wanted"))
+    if repeated.count() <= BROADCAST_ROWS:  # then their places are small; beyond, the texts are shuffled once more
+        firsts = F.broadcast(firsts)
     owners = _by_place(texts, firsts, "inner").select("t", "wanted")
     passages = map_rows(owners, _chunk_texts, "digest binary, passage string").dropDuplicates(["digest"])
-    repeats = others.join(passages, "digest").groupBy("doc", "key").agg(F.collect_list(F.struct("no", "passage")).alias("repeats"))
+    # one row per digest, written: so the one join on a hot digest can be split at run time
+    known = written(repeated.join(passages, "digest"), "passages")
+    others = placed.join(known, "digest").where(~place.eqNullSafe(F.col("first")))
+    repeats = others.groupBy("doc", "key").agg(F.collect_list(F.struct("no", "passage")).alias("repeats"))
     names = [f"k{i}" for i in range(len(keep) + 1)]
     kept = (id_column, *keep)
     whole = df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("key"), F.col(id_column).alias("doc"), *[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)])
