@@ -15,6 +15,7 @@ import unicodedata
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from carelake.llm.common import map_rows, ship, text_of
 END = "\n"
 SUFFIX = "</w>"
 #: Words a worker remembers: the newest so many, and those used again of as many before. Longer ones never.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 #: Pairs of tokens whose test a worker remembers, until it begins anew.
-PAIRS = 300_000
+PAIRS = 200_000
 NO_ID = -1
 
 # How the vocabulary's own tokenizer cuts a lower-case text.
@@ -218,9 +219,11 @@ def read_spec(spark: SparkSession, path: str) -> str:
         return file.read()
 
 
-def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), arrays: bool = False) -> DataFrame:
     """`keep`, `packed_ids` (binary, little-endian unsigned 32-bit) and `decoded` for every row.
 
+    With `arrays` the ids come as `token_ids`, an array of integers, instead.
+
     `spec` is the content of a tokenizer file whose model is byte-pair encoding over byte symbols with word ends.
     """
     shared = df.sparkSession.sparkContext.broadcast(spec)
@@ -231,14 +234,14 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
 
         def row(text, *kept):
             packed = coder.encode(text)
-            yield *kept, packed, coder.decode(packed)
+            yield *kept, np.frombuffer(packed, "<u4").astype("i4") if arrays else packed, coder.decode(packed)
 
         return row
 
     chosen = df.select(text_of(text).alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)] + ["packed_ids binary, decoded string"])
-    return map_rows(chosen, make, schema).toDF(*keep, "packed_ids", "decoded")
+    schema = ", ".join([f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)] + ["ids array<int>, decoded string" if arrays else "ids binary, decoded string"])
+    return map_rows(chosen, make, schema).toDF(*keep, "token_ids" if arrays else "packed_ids", "decoded")
 
 
 def count_ids(packed: Column) -> Column:

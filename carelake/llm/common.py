@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of output a Python task gathers before it hands a batch on.
 BATCH_BYTES = 8 << 20
+#: Rows of an input batch that are taken out of Arrow at once.
+SLICE_ROWS = 256
 #: Rows of a side that is broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Applications whose tasks have this package.
@@ -99,18 +102,22 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
             out: list[tuple] = []
             held = 0
-            for row in zip(*columns, strict=True):
-                for made in function(*row):
-                    out.append(made)
-                    held += 64 + sum(len(v) for v in made if isinstance(v, str | bytes | list))
-                if held > BATCH_BYTES:
-                    yield _batch(out, arrow)
-                    out, held = [], 0
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # few rows at once are Python objects
+                for row in zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns], strict=True):
+                    for made in function(*row):
+                        out.append(made)
+                        held += 64 + sum(getattr(v, "nbytes", None) or len(v) for v in made if hasattr(v, "__len__"))
+                    if held > BATCH_BYTES:
+                        yield _batch(out, arrow)
+                        out, held = [], 0
             if out:
                 yield _batch(out, arrow)
+        # a worker lives on: what this task held goes back to the machine
+        del function
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, shape)
 
