@@ -35,7 +35,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
