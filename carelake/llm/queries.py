@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, decontaminate, linededup, mtree, orcids, secrets, sharding, simhash, toxicity, warc
+from carelake.llm import (
+    bpe,
+    decontaminate,
+    linededup,
+    mixing,
+    mtree,
+    orcids,
+    resample,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+    whitening,
+)
 from carelake.llm.common import scratch_path, table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -95,6 +109,19 @@ def op10_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.placed(spark, path)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(whitening.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumnRenamed("id", "vec_id")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -106,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_orc_ids": op10_orc_ids,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_mixing": op13_mixing,
 }
 
 _SHINGLES = """
@@ -161,4 +191,56 @@ ORACLE: dict[str, str] = {
         group by doc_id, item_id
         having count(*) >= 0.8 * any_value(n)
     """,
+    "op13_mixing": f"""
+        with sized as (
+            select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+                ('0x' || substr(md5('2024:' || coalesce(doc_id::varchar, ':' || coalesce(text, ''))), 1, 15))::bigint as place
+            from documents
+        ), numbered as (
+            select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as source_no
+            from sized group by source
+        ), weighed as (
+            select *, [3, 1, 2][(source_no - 1) % 3 + 1] as weight, 2 * source_size as most,
+                sum(source_size) over () * 1.5::double as total
+            from numbered
+        ), filled as (
+            select *, row_number() over by_limit as nth,
+                total - coalesce(sum(most) over (order by most / weight, source_no rows between unbounded preceding and 1 preceding), 0) as rest,
+                sum(weight) over (order by most / weight, source_no rows between current row and unbounded following) as weights
+            from weighed window by_limit as (order by most / weight, source_no)
+        ), free as (
+            select arg_min(rest, nth) as rest, arg_min(weights, nth) as weights, min(nth) as nth from filled where most / weight >= rest / weights
+        ), aimed as (
+            select f.*, case when free.nth is null or f.nth < free.nth then f.most::double
+                else free.rest::double * f.weight / free.weights::double end as target
+            from filled f cross join free
+        ), source_seats as (
+            select source_no, count(*) as quota from (
+                select source_no, row_number() over (order by target / (2 * k - 1) desc, source_no) as n, total
+                from (select *, unnest(range(1, 2 * ceil(source_size / {mixing.BLOCK})::bigint + 1)) as k from aimed where target > 0)
+            ) where n <= floor(total / {mixing.BLOCK} + 0.5) group by source_no
+        ), placed as (
+            select s.*, a.source_no, a.source_size, a.target, s.place % greatest(1, ceil(a.source_size / {mixing.SHARD})::bigint) as shard
+            from sized s join aimed a on s.source is not distinct from a.source
+        ), streams as (
+            select source_no, shard, sum(size)::bigint as words, ceil(sum(size) / {mixing.BLOCK})::bigint as blocks
+            from placed group by source_no, shard
+        ), won as (
+            select source_no, shard, blocks, count(*) as seats from (
+                select *, row_number() over (partition by source_no order by words / (2 * k - 1) desc, shard) as n
+                from (select *, unnest(range(1, 2 * blocks + 1)) as k from streams join source_seats using (source_no) where words > 0)
+            ) where n <= quota group by source_no, shard, blocks
+        ), runs as (
+            select source_no, shard, blocks, seats // blocks as rounds, seats % blocks as more,
+                ('0x' || substr(md5('2024:' || source_no || ':' || shard), 1, 15))::bigint % blocks as begin
+            from won
+        ), located as (
+            select *, sum(size) over (partition by source_no, shard order by place, doc_id, size rows unbounded preceding) - size as low
+            from placed
+        )
+        select doc_id, size, source_size, target, coalesce(rounds * size
+            + greatest(0, least(low + size, least(begin + more, blocks) * {mixing.BLOCK}) - greatest(low, begin * {mixing.BLOCK}))
+            + greatest(0, least(low + size, (begin + more - blocks) * {mixing.BLOCK}) - low), 0)::bigint as taken, source, shard
+        from located left join runs using (source_no, shard)
+    """,
 }

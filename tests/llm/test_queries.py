@@ -23,7 +23,7 @@ def texts(spark):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
