@@ -80,5 +80,7 @@ class RefreshConfig:
     strict_minor_bucket: bool = False
     key_salt: str = ""
     seed_empty_tables: bool = False
+    #: Facts of appointments that have moved to another date stay beside the new ones, as in the source system.
+    keep_superseded: bool = False
     #: Published runs whose tables are kept.
     keep_runs: int = 3

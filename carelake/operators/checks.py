@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions import month_of_date_id
 from carelake.operators.dedup import latest_per_key
 from carelake.operators.marts import COMPLETED, status_is
 from carelake.operators.upsert import upsert_metrics
@@ -40,6 +42,22 @@ def check_completed_totals(mart: DataFrame, fact: DataFrame) -> DataFrame:
     return completed_totals(mart, fact).filter("mart_completed <> fact_completed")
 
 
+def completed_by_month(mart: DataFrame, fact: DataFrame) -> DataFrame:
+    """(month, mart_completed, fact_completed) for every month of either side; one aggregate of each."""
+    in_mart = mart.groupBy(F.col("appointment_period").alias("month")).agg(F.sum("completed_appointments").alias("mart_completed"))
+    in_fact = (
+        fact.filter(F.col("professional_id").isNotNull())
+        .groupBy(month_of_date_id("date_id").alias("month"))
+        .agg(F.count_if(status_is(COMPLETED)).alias("fact_completed"))
+    )
+    both = in_mart.join(in_fact, "month", "full_outer")
+    return both.select("month", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("mart_completed", "fact_completed")])
+
+
+def check_completed_by_month(mart: DataFrame, fact: DataFrame) -> DataFrame:
+    return completed_by_month(mart, fact).filter("mart_completed <> fact_completed")
+
+
 # Fact column -> dimension it must resolve in.
 FACT_REFERENCES = {
     "created_date_id": ("dim_date", "date_id"),
@@ -101,6 +119,31 @@ def filled_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "column_name", "filled")
 
 
+# Model columns that hold no names; a filled name is the hash of one (hexadecimal, 32 digits).
+MODEL_NAMES = {"dim_patient": ("first_name", "last_name"), "dim_professional": ("full_name",)}
+_HASHED_NAMES = ("full_name",)
+
+
+def model_pii(model: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, filled): personal values found in the star schema, names that are no hash included."""
+    parts = []
+    for table, columns in MODEL_NAMES.items():
+        if table not in model:
+            continue
+        counts = model[table].agg(
+            *[
+                F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(r"\A[0-9a-f]{32}\z") if c in _HASHED_NAMES else F.col(c).isNotNull()).alias(c)
+                for c in columns
+            ]
+        )
+        parts.append(counts.unpivot([], list(columns), "column_name", "filled").select(F.lit(table).alias("table_name"), "column_name", "filled"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def check_model_pii(model: Mapping[str, DataFrame]) -> DataFrame:
+    return model_pii(model).filter("filled > 0")
+
+
 def check_pii(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
     if not present:

@@ -55,6 +55,43 @@ def merge(target: DataFrame, src: DataFrame, keys: Sequence[str], only_new: bool
     return t.join(s, on, "full_outer").select(*picked, in_src.alias("_in_src"), in_target.alias("_in_target"))
 
 
+#: What became of a row: its key is new, its content differs, its key is gone from a source that holds all rows.
+INSERTED, UPDATED, REMOVED = "insert", "update", "remove"
+
+
+def changes(
+    known: DataFrame, src: DataFrame, keys: Sequence[str], only_new: bool = False, removing: bool = False
+) -> DataFrame:
+    """The change feed of an upsert of ``src`` into a table of which ``known`` holds keys, row hash and part.
+
+    One row per key of either side, with ``_op`` (NULL for rows that stay as they are), the part a row is in now
+    (``_old_part``) and the one it belongs to (``_part``).  Rows are compared by ``_row``, a hash of their content.  With
+    ``only_new`` existing rows stay.  With ``removing`` the source is complete, so keys it lacks are removed; without,
+    they are not looked at.  Keys compare null-safe.
+    """
+    s = src.withColumn("_here", F.lit(True)).alias("s")
+    k = known.select(*keys, F.col("_row").alias("_old_row"), F.col("_part").alias("_old_part"), F.lit(True).alias("_known")).alias("k")
+    on = reduce(Column.__and__, [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys])
+    joined = s.join(k, on, "full_outer" if removing else "left")
+    here, there = F.coalesce("_here", F.lit(False)), F.coalesce("_known", F.lit(False))
+    op = F.when(here & ~there, INSERTED)
+    if not only_new:
+        op = op.when(here & there & (F.col("_row") != F.col("_old_row")), UPDATED)
+    if removing:
+        op = op.when(~here & there, REMOVED)
+    picked = [(F.when(here, F.col(f"s.{c}")).otherwise(F.col(f"k.{c}")) if c in keys else F.col(f"s.{c}")).alias(c) for c in src.columns]
+    return joined.select(*picked, op.alias("_op"), "_old_part", here.alias("_in_src"))
+
+
+def apply_changes(old: DataFrame, feed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The parts ``old`` after the feed's inserts, updates and removals: one anti join on the feed's keys."""
+    named = {k: f"_key_{n}" for n, k in enumerate(keys)}
+    gone = feed.filter(F.col("_op") != INSERTED).select([F.col(k).alias(n) for k, n in named.items()])
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    fresh = feed.filter(F.col("_op") != REMOVED).select(*old.columns)
+    return old.join(gone, on, "left_anti").unionByName(fresh)
+
+
 def insert_new(target: DataFrame, src: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert new keys only; existing rows stay as they are."""
     fresh = src.select(*target.columns).join(target.select(*keys), list(keys), "left_anti")

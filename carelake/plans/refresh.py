@@ -1,33 +1,48 @@
-"""Full refresh: source -> raw -> typed -> model -> marts, published as a whole."""
+"""Refresh: source -> raw -> typed -> model -> states -> marts, published as a whole.
+
+Every table is a set of parts, mostly months.  A run compares the source's parts with those it has by order-free
+checksums and writes the ones that differ.  A table whose inputs are unchanged is taken over as it is.  One that is made
+anew is compared with its last version by key and row hash; only parts with a changed row are written.  States of the
+marts are kept by part and made anew for changed parts alone.  Work on a rerun thus goes with what has changed, but
+for one narrow look at keys and hashes of each changed table.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.config import RefreshConfig
+from carelake.functions import surrogate
+from carelake.functions.clean import TimeRule
+from carelake.functions.measures import date_of_id
 from carelake.operators import checks, dimensions, marts
 from carelake.operators.fact import fact_appointments, fact_rejects
-from carelake.functions.clean import TimeRule
 from carelake.operators.typed import ISO, build_typed, rejected_values
-from carelake.operators.upsert import merge
-from carelake.schemas import MART_SCHEMAS, MODEL_KEYS, NATURAL_KEYS, SPECS, TableSpec
+from carelake.operators.upsert import INSERTED, REMOVED, UPDATED, apply_changes, changes
+from carelake.schemas import MART_SCHEMAS, MODEL_KEYS, NATURAL_KEYS, PARTED_BY, SPECS, TableSpec
 from carelake.session import tune
 from carelake.sources.readers import raw_table, read_source
-from carelake.sources.store import LayerStore
+from carelake.sources.store import PART, ROW, WHOLE, LayerStore, TableVersion, digest_of, materialize, month_of
 
 # Independent tables are submitted together; Spark shares the executors among them.
 PARALLEL_TABLES = 8
 
 SUMMARY_DDL = (
     "layer string, table_name string, ok boolean, eligible bigint, inserted bigint,"
-    " updated bigint, table_rows bigint, message string, sample_inserted boolean"
+    " updated bigint, table_rows bigint, message string, sample_inserted boolean, unchanged bigint, removed bigint"
 )
+# Part of the name of everything a run makes: to be raised when a rule changes what it gives.
+RULES = 1
+# Ids of a part, for tables that have no time.
+_IDS_PER_PART = 1 << 20
 
 
 class RefreshFailed(RuntimeError):
@@ -45,6 +60,22 @@ class TableResult:
     table_rows: int
     message: str = ""
     sample_inserted: bool = False
+    unchanged: int = 0
+    removed: int = 0
+
+
+class _Counted:
+    """A table whose rows are counted by the tasks that write it."""
+
+    def __init__(self, df: DataFrame, *counts: Column) -> None:
+        self._plain, self._counts, self._seen = df, counts, Observation()
+        self.df = df.observe(self._seen, *counts)
+
+    def counts(self) -> dict[str, int]:
+        try:
+            return self._seen.get
+        except Py4JJavaError:  # Spark leaves an observation out of a plan that it finds to be empty
+            return self._plain.agg(*self._counts).first().asDict()
 
 
 class Refresh:
@@ -61,69 +92,111 @@ class Refresh:
         self.store = LayerStore(spark, cfg.root)
         self.results: list[TableResult] = []
         self.seconds: dict[str, float] = {}
+        self.versions: dict[tuple[str, str], TableVersion] = {}
         self._load = load or (lambda entity: read_source(spark, cfg.source, cfg.fields.table_name(entity)))
 
     # -- layers ------------------------------------------------------------------
 
     def load_raw(self, spec: TableSpec) -> DataFrame:
-        """A snapshot: it replaces the one of the previous run."""
+        """A snapshot: it replaces the one of the previous run, part by part where its rows differ."""
         source = self._load(spec.name)
         sampled = self.cfg.seed_empty_tables and source.isEmpty()
-        raw = raw_table(source, spec, self.cfg.fields, sampled)
-        written = self.store.write(raw, "raw", spec.name)
-        rows = written.count()
+        raw = raw_table(source, spec, self.cfg.fields, sampled).withColumn(PART, _raw_part(spec))
+        base = self.store.in_journal("raw", spec.name) or self.store.published("raw", spec.name)
+
+        def written_sums(parts: dict[str, str], schema: str) -> dict[str, str]:
+            files = self.store.read(TableVersion(parts, schema, ""))
+            return _checksums(files.withColumn(PART, _raw_part(spec))) if parts else {}
+
+        if base is None:
+            kept, (parts, schema) = {}, self.store.write_parts(raw, "raw", spec.name)
+            sums = written_sums(parts, schema)
+        else:
+            now, schema = _checksums(raw), raw.drop(PART).schema.json()
+            stale = [p for p, c in now.items() if base.checksums.get(p) != c or base.schema != schema]
+            kept = {p: base.parts[p] for p in now if p not in stale}
+            parts = self.store.write_parts(raw.filter(F.col(PART).isin(stale)), "raw", spec.name)[0] if stale else {}
+            # What is noted is what was written, should the source have moved on meanwhile.
+            sums = {p: now[p] for p in kept} | written_sums(parts, schema)
+        rows = sum(int(c.split(":")[0]) for c in sums.values())
+        name = digest_of(RULES, schema, sums)
+        version = TableVersion(kept | parts, schema, name, name, checksums=sums, stats={"rows": rows})
         self._record("raw", spec.name, rows, rows, 0, rows, sampled)
-        return written
+        return self._added("raw", spec.name, version)
 
     def load_typed(self, spec: TableSpec, raw: DataFrame) -> DataFrame:
-        return self._merge(build_typed(raw, spec, self.cfg.price_locale, self.cfg.fields.times), "typed", spec.name, [spec.key])
+        rules = [self._version("raw", spec.name), repr(spec), self.cfg.price_locale, repr(self.cfg.fields.times)]
+        return self._merge(
+            lambda: build_typed(raw, spec, self.cfg.price_locale, self.cfg.fields.times), "typed", spec.name, [spec.key], rules
+        )
 
     def load_model(self, typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
         salt = self.cfg.key_salt
+        lookups = ("ethnicgroup", "genderidentity", "pronoun", "sexualorientation", "privacydocument", "disabilitytype", "address_state")
         sources = {
-            "dim_date": lambda: dimensions.dim_date(typed["appointment"]),
-            "dim_report": lambda: dimensions.dim_report(typed["report"]),
-            "dim_clinic": lambda: dimensions.dim_clinic(typed["clinic"], typed["address_state"]),
-            "dim_professional": lambda: dimensions.dim_professional(typed["professional"], typed, salt),
-            "dim_patient": lambda: dimensions.dim_patient(typed["user"], typed["profile"], typed, salt),
+            "dim_date": (lambda: dimensions.dim_date(typed["appointment"]), ["appointment"]),
+            "dim_report": (lambda: dimensions.dim_report(typed["report"]), ["report"]),
+            "dim_clinic": (lambda: dimensions.dim_clinic(typed["clinic"], typed["address_state"]), ["clinic", "address_state"]),
+            "dim_professional": (
+                lambda: dimensions.dim_professional(typed["professional"], typed, salt),
+                ["professional", "professional_disability_types", *lookups],
+            ),
+            "dim_patient": (
+                lambda: dimensions.dim_patient(typed["user"], typed["profile"], typed, salt),
+                ["user", "profile", "profile_disability_types", *lookups],
+            ),
         }
 
         def build(name: str) -> DataFrame:
+            source, uses = sources[name]
             only_new = name in ("dim_date", "dim_report")
-            src = dimensions.conform(sources[name](), name)
-            return self._merge(src, "model", name, NATURAL_KEYS.get(name, [MODEL_KEYS[name]]), only_new)
+            return self._merge(
+                lambda: dimensions.conform(source(), name),
+                "model", name, NATURAL_KEYS.get(name, [MODEL_KEYS[name]]),
+                [salt, *[self._version("typed", u) for u in uses]], only_new,
+            )
 
         model = self._each("model", sources, build)
-        # Sorted files: row-group statistics prune reads by date.
-        fact = fact_appointments(typed, model, salt=salt)
-        keys = [MODEL_KEYS["fact_appointments"]]
-        model["fact_appointments"] = self._merge(fact, "model", "fact_appointments", keys, sort_by="date_id")
-        rejects = self.store.write(fact_rejects(typed["appointment"]), "model", "fact_rejects")
-        rows = rejects.count()
-        self._record("model", "fact_rejects", rows, rows, 0, rows)
+        uses = ("appointment", "report", "cancellation", "professional", "clinic", "user", "address_state")
+        # Sorted files: row-group statistics prune reads by date.  The typed layer holds every appointment, so a fact
+        # that cannot be made from it any more is superseded: its appointment has moved to another date or lost it.
+        model["fact_appointments"] = self._merge(
+            lambda: fact_appointments(typed, model, salt=salt),
+            "model", "fact_appointments", [MODEL_KEYS["fact_appointments"]],
+            [salt, self.cfg.keep_superseded, self._version("model", "dim_patient"), *[self._version("typed", u) for u in uses]],
+            sort_by="date_id", removing=not self.cfg.keep_superseded,
+        )
+        self._whole("model", "fact_rejects", [self._version("typed", "appointment")], lambda: fact_rejects(typed["appointment"]))
         return model
 
-    def load_marts(self, model: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Marts are rebuilt, so groups that no longer exist disappear."""
-        fact = model["fact_appointments"]
+    def load_states(self, model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """What the marts are summed from, by month of the facts or of the patients' registration."""
+        as_of = str(self.cfg.as_of or dt.date.today())
         sources = {
-            "patients": lambda: marts.mart_patients(
-                model["dim_patient"], self.cfg.as_of, self.cfg.strict_minor_bucket
-            ),
-            "patient_disability": lambda: marts.mart_patient_disability(model["dim_patient"]),
-            "professionals": lambda: marts.mart_professionals(
-                model["dim_professional"], fact, model["dim_report"]
-            ),
-            "professional_appointments": lambda: marts.mart_professional_appointments(
-                model["dim_professional"], fact
+            "appointments": ("fact_appointments", [], lambda df: marts.appointment_states(df, model["dim_report"])),
+            "patients": (
+                "dim_patient", [as_of, self.cfg.strict_minor_bucket],
+                lambda df: marts.patient_counts(df, as_of, self.cfg.strict_minor_bucket),
             ),
+            "patient_disability": ("dim_patient", [], marts.mart_patient_disability),
+        }
+        return self._each("state", sources, lambda name: self._derived("state", name, *sources[name]))
+
+    def load_marts(self, model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Marts are summed up from states, so groups that no longer exist disappear."""
+        state = self.states = self.load_states(model)
+        professional = model["dim_professional"]
+        uses = [self._version("state", "appointments"), self._version("model", "dim_professional")]
+        sources = {
+            "patients": (lambda: marts.patients_from_counts(state["patients"]), [self._version("state", "patients")]),
+            "patient_disability": (lambda: state["patient_disability"], [self._version("state", "patient_disability")]),
+            "professionals": (lambda: marts.professionals_from_states(professional, state["appointments"]), uses),
+            "professional_appointments": (lambda: marts.professional_appointments_from_states(professional, state["appointments"]), uses),
         }
 
         def build(name: str) -> DataFrame:
-            written = self.store.write(dimensions.conform(sources[name](), name, MART_SCHEMAS), "mart", name)
-            rows = written.count()
-            self._record("mart", name, rows, rows, 0, rows)
-            return written
+            source, used = sources[name]
+            return self._whole("mart", name, used, lambda: dimensions.conform(source(), name, MART_SCHEMAS))
 
         return self._each("mart", sources, build)
 
@@ -143,23 +216,30 @@ class Refresh:
         return self.summary()
 
     def check(self) -> dict[str, DataFrame]:
-        """Every check on the tables of this run; violations stop it."""
+        """Every check on what this run has changed; violations stop it.
+
+        What was published has passed them, and dimensions lose no rows, so facts of other parts need no second look.
+        """
         model, pii = self.model, set(self.cfg.fields.pii)
-        found = {"duplicate_fingerprints": checks.check_duplicate_fingerprints(model["fact_appointments"])}
+        found = {}
+        months = self._changed_parts("model", "fact_appointments")
+        if months or self._changed("mart", "professional_appointments"):
+            fact = self.store.read(self.versions["model", "fact_appointments"], months)
+            found["duplicate_fingerprints"] = checks.check_duplicate_fingerprints(fact)
+            found["references"] = checks.check_references(fact, model)
+            found["completed_totals"] = checks.check_completed_by_month(self.marts["professional_appointments"], model["fact_appointments"])
         for dim, natural in NATURAL_KEYS.items():
-            found[f"collisions_{dim}"] = checks.check_surrogate_collisions(model[dim], MODEL_KEYS[dim], natural)
-        found["references"] = checks.check_references(model["fact_appointments"], model)
-        found["completed_totals"] = checks.check_completed_totals(self.marts["professional_appointments"], model["fact_appointments"])
+            if self._changed("model", dim):
+                found[f"collisions_{dim}"] = checks.check_surrogate_collisions(model[dim], MODEL_KEYS[dim], natural)
         for layer, tables in (("raw", self.raw), ("typed", self.typed)):
             for name, df in tables.items():
-                if columns := [c for c in df.columns if c in pii]:
+                if self._changed(layer, name) and (columns := [c for c in df.columns if c in pii]):
                     found[f"pii_{layer}_{name}"] = checks.filled_counts(df, columns).filter("filled > 0")
-
-        def violations(name: str) -> int:
-            return found[name].limit(1000).count()
+        if any(self._changed("model", name) for name in ("dim_patient", "dim_professional")):
+            found["pii_model"] = checks.check_model_pii(model)
 
         with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-            counts = dict(zip(found, pool.map(violations, found), strict=True))
+            counts = dict(zip(found, pool.map(lambda name: found[name].count(), found), strict=True))
         if bad := {name: n for name, n in counts.items() if n}:
             for name, n in bad.items():
                 self._fail("check", name, f"{n} violations")
@@ -176,37 +256,131 @@ class Refresh:
 
     # -- helpers -----------------------------------------------------------------
 
+    def _version(self, layer: str, name: str) -> str:
+        return self.versions[layer, name].version
+
+    def _added(self, layer: str, name: str, version: TableVersion) -> DataFrame:
+        self.versions[layer, name] = self.store.add(layer, name, version)
+        return self.store.read(version)
+
+    def _changed(self, layer: str, name: str) -> bool:
+        base, now = self.store.published(layer, name), self.versions.get((layer, name))
+        return base is None or now is None or base.version != now.version
+
+    def _changed_parts(self, layer: str, name: str) -> list[str]:
+        base = self.store.published(layer, name)
+        return [p for p, path in self.versions[layer, name].parts.items() if base is None or base.parts.get(p) != path]
+
+    def _taken_over(self, layer: str, name: str, inputs: str) -> DataFrame | None:
+        """The table as a run that failed had finished it, or as published, if made from the same inputs."""
+        if done := self.store.finished(layer, name, inputs):
+            s = done.stats
+            self._record(
+                layer, name, s["eligible"], s["inserted"], s["updated"], s["rows"], unchanged=s["unchanged"], removed=s["removed"]
+            )
+            return self._added(layer, name, done)
+        base = self.store.published(layer, name)
+        if base is None or base.inputs != inputs:
+            return None
+        rows, eligible = base.stats["rows"], base.stats["eligible"]
+        again = {"eligible": eligible, "inserted": 0, "updated": 0, "removed": 0, "unchanged": eligible, "rows": rows}
+        self._record(layer, name, eligible, 0, 0, rows, unchanged=eligible)
+        return self._added(layer, name, replace(base, stats=again, feed=""))
+
     def _merge(
-        self, src: DataFrame, layer: str, name: str, keys: Sequence[str], only_new: bool = False, sort_by: str | None = None
+        self,
+        build: Callable[[], DataFrame],
+        layer: str,
+        name: str,
+        keys: Sequence[str],
+        uses: Sequence[object],
+        only_new: bool = False,
+        sort_by: str | None = None,
+        removing: bool = False,
     ) -> DataFrame:
-        """Upsert into the published table, written as a new version: one join, the source read once.
+        """Upsert into the published table: writes the changed rows as a feed, then the parts they are in.
 
-        Counts are observed in the tasks that write the result, where Spark counts each task once.
+        Counts are observed in the tasks that write, where Spark counts each task once.
         """
-
-        def ordered(df: DataFrame) -> DataFrame:
-            return df.sortWithinPartitions(sort_by) if sort_by else df
-
-        existing = self.store.read_published(layer, name)
-        if existing is None:
-            written = self.store.write(ordered(src), layer, name)
-            rows = written.count()
+        inputs = digest_of(RULES, layer, name, *uses)
+        if (done := self._taken_over(layer, name, inputs)) is not None:
+            return done
+        src = build()
+        part = PARTED_BY.get((layer, name))
+        parted = _part_of(src, part)
+        src = src.withColumn(ROW, surrogate(*src.columns)).withColumn(PART, parted)
+        base = self.store.published(layer, name)
+        if base is None:
+            counted = _Counted(src, F.count(F.lit(1)).alias("n"))
+            parts, schema = self.store.write_parts(counted.df, layer, name, sort_by, part is not None)
+            rows = counted.counts()["n"]
+            stats = {"eligible": rows, "inserted": rows, "updated": 0, "removed": 0, "unchanged": 0, "rows": rows}
             self._record(layer, name, rows, rows, 0, rows)
-            return written
-        seen = Observation(f"{layer}-{name}")
-        fresh = F.col("_in_src") & ~F.col("_in_target")
-        # Sorted after the join, which leaves rows in the order of its keys.
-        merged = ordered(merge(existing, src, keys, only_new)).observe(
-            seen,
-            F.count_if(F.col("_in_src")).alias("eligible"),
-            F.count_if(fresh).alias("inserted"),
-            F.count(F.lit(1)).alias("table_rows"),
+            return self._added(layer, name, TableVersion(parts, schema, digest_of(inputs), inputs, stats=stats))
+
+        # Written once: the join's planner would otherwise infer constraints through every cleaning expression.
+        src = materialize(src, f"{layer}-{name}")
+        schema = src.drop(PART).schema.json()
+        old = self.store.read(base, hidden=True)
+        known = old.withColumn(PART, _part_of(old, part))
+        ops = {"inserted": INSERTED, "updated": UPDATED, "removed": REMOVED}
+        counted = _Counted(
+            changes(known, src, keys, only_new, removing),
+            F.count_if("_in_src").alias("eligible"),
+            *[F.count_if(F.col("_op").eqNullSafe(op)).alias(count) for count, op in ops.items()],
         )
-        written = self.store.write(merged.drop("_in_src", "_in_target"), layer, name)
-        counts = seen.get
-        updated = 0 if only_new else counts["eligible"] - counts["inserted"]
-        self._record(layer, name, counts["eligible"], counts["inserted"], updated, counts["table_rows"])
-        return written
+        feed, path = self.store.write_feed(counted.df.filter("_op is not null").drop("_in_src"), layer, name)
+        counts = counted.counts()
+        touched = sorted({p for r in feed.select(PART, "_old_part").distinct().collect() for p in r if p is not None})
+        stats = {
+            **counts,
+            "unchanged": counts["eligible"] - counts["inserted"] - counts["updated"],
+            "rows": base.stats["rows"] + counts["inserted"] - counts["removed"],
+        }
+        self._record(
+            layer, name, stats["eligible"], stats["inserted"], stats["updated"], stats["rows"],
+            unchanged=stats["unchanged"], removed=stats["removed"],
+        )
+        if not touched:
+            return self._added(layer, name, replace(base, inputs=inputs, stats=stats, feed=""))
+        rest = self.store.read(base, touched, hidden=True)
+        merged = apply_changes(rest, feed, keys)
+        parts, _ = self.store.write_parts(merged.withColumn(PART, _part_of(merged, part)), layer, name, sort_by, part is not None)
+        kept = {p: path for p, path in base.parts.items() if p not in touched}
+        return self._added(layer, name, TableVersion(kept | parts, schema, digest_of(base.version, inputs), inputs, stats=stats, feed=path))
+
+    def _whole(self, layer: str, name: str, uses: Sequence[object], build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is replaced as a whole when its inputs have changed."""
+        inputs = digest_of(RULES, layer, name, *uses)
+        done = self.store.finished(layer, name, inputs) or self.store.published(layer, name)
+        if done is None or done.inputs != inputs:
+            counted = _Counted(build().withColumn(PART, F.lit(WHOLE)), F.count(F.lit(1)).alias("n"))
+            parts, schema = self.store.write_parts(counted.df, layer, name, gather=False)
+            done = TableVersion(parts, schema, inputs, inputs, stats={"rows": counted.counts()["n"]})
+        self._record(layer, name, done.stats["rows"], done.stats["rows"], 0, done.stats["rows"])
+        return self._added(layer, name, done)
+
+    def _derived(
+        self, layer: str, name: str, source: str, uses: Sequence[object], build: Callable[[DataFrame], DataFrame]
+    ) -> DataFrame:
+        """A table each part of which is made from the same part of a model table: changed parts are made anew."""
+        of = self.versions["model", source]
+        params = digest_of(RULES, layer, name, *uses)
+        inputs = digest_of(params, of.version)
+        if (done := self.store.finished(layer, name, inputs)) is not None:
+            return self._added(layer, name, done)
+        base = self.store.published(layer, name)
+        if base is not None and base.params != params:
+            base = None
+        stale = [p for p, path in of.parts.items() if base is None or base.checksums.get(p) != path]
+        kept = {} if base is None else {p: path for p, path in base.parts.items() if p in of.parts and p not in stale}
+        df = build(self.store.read(of, stale))
+        if stale or base is None:
+            parts, schema = self.store.write_parts(df.withColumn(PART, month_of(F.col("period_month"))), layer, name)
+        else:
+            parts, schema = {}, base.schema
+        version = base.version if base is not None and not stale and kept == base.parts else digest_of(inputs, params)
+        return self._added(layer, name, TableVersion(kept | parts, schema, version, inputs, params, checksums=dict(of.parts)))
 
     def _timed(self, layer: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
         start = time.perf_counter()
@@ -215,9 +389,18 @@ class Refresh:
         return tables
 
     def _record(
-        self, layer: str, name: str, eligible: int, inserted: int, updated: int, rows: int, sampled: bool = False
+        self,
+        layer: str,
+        name: str,
+        eligible: int,
+        inserted: int,
+        updated: int,
+        rows: int,
+        sampled: bool = False,
+        unchanged: int = 0,
+        removed: int = 0,
     ) -> None:
-        self.results.append(TableResult(layer, name, True, eligible, inserted, updated, rows, "", sampled))
+        self.results.append(TableResult(layer, name, True, eligible, inserted, updated, rows, "", sampled, unchanged, removed))
 
     def _fail(self, layer: str, name: str, message: str) -> None:
         self.results.append(TableResult(layer, name, False, 0, 0, 0, 0, message))
@@ -241,6 +424,49 @@ class Refresh:
         return built
 
 
+def _part_of(df: DataFrame, column: str | None) -> Column:
+    """The part of a typed or model row: the month of a time or date key, a range of ids, or the whole."""
+    if column is None:
+        return F.lit(WHOLE)
+    kind = df.schema[column].dataType.simpleString()
+    if kind != "int":
+        return month_of(F.col(column))
+    if column == "date_id":
+        return month_of(date_of_id(column))
+    return F.concat(F.lit("ids-"), F.call_function("div", F.col(column), F.lit(_IDS_PER_PART)).cast("string"))
+
+
+def _raw_part(spec: TableSpec) -> Column:
+    """The part of a raw row, from its text: the month it names first, or a range of ids."""
+    column = PARTED_BY.get(("typed", spec.name))
+    source = {c.target: c.source for c in spec.columns}.get(column)
+    if source is None:
+        return F.lit(WHOLE)
+    if source == spec.raw_key:
+        block = F.call_function("div", F.trim(source).try_cast("int"), F.lit(_IDS_PER_PART))
+        return F.coalesce(F.when(block >= 0, F.concat(F.lit("ids-"), block.cast("string"))), F.lit("none"))
+    month = F.regexp_extract(F.col(source), "((?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2]))(?![0-9])", 1)
+    return F.when(month != "", month).otherwise(F.lit("none"))
+
+
+def _checksums(df: DataFrame) -> dict[str, str]:
+    """Per part, how many rows it has and sums of their hashes: the same in any order, other for other rows."""
+    columns = [c for c in df.columns if c != PART]
+    h = F.col("h")
+    sums = (
+        df.select(PART, surrogate(*columns).alias("h"))
+        .groupBy(PART)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(h).alias("x"),
+            # Whole numbers of 31 bits; beyond four thousand million rows a part the sum is NULL, which compares as well.
+            F.try_sum(h.bitwiseAND(0x7FFFFFFF)).alias("low"),
+            F.try_sum(F.shiftrightunsigned(h, 33)).alias("high"),
+        )
+    )
+    return {r[PART]: f"{r.n}:{r.x}:{r.low}:{r.high}" for r in sums.collect()}  # a row per part
+
+
 def rejected_report(
     raw: dict[str, DataFrame], price_locale: str | None = None, times: TimeRule = ISO
 ) -> DataFrame:

@@ -295,6 +295,20 @@ MODEL_KEYS = {
     "fact_appointments": "appointment_fingerprint",
 }
 
+# Tables in parts, and the column whose month (or range of ids) is the part; raw tables are parted as their typed ones.
+PARTED_BY: dict[tuple[str, str], str] = {
+    ("typed", "appointment"): "appointment_date",
+    ("typed", "cancellation"): "created_at",
+    ("typed", "report"): "created_at",
+    ("typed", "user"): "created_at",
+    ("typed", "profile"): "created_at",
+    ("typed", "profile_disability_types"): "id",
+    ("typed", "professional_disability_types"): "id",
+    ("model", "dim_report"): "created_at",
+    ("model", "dim_patient"): "created_at",
+    ("model", "fact_appointments"): "date_id",
+}
+
 # What makes a row of a dimension itself; the key above is a hash of it.
 NATURAL_KEYS = {
     "dim_report": ("created_at", "feedback", "evaluation"),
