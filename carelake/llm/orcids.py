@@ -28,7 +28,8 @@ REMEMBERED, LONGEST = 300_000, 40
 END_ID = 1
 SUFFIX = "</w>"
 STRIPE_BYTES, ROW_GROUP = 64 << 20, 10_000
-BATCH_BYTES = 8 << 20
+#: Characters of the texts that are encoded at once, but for a longer one.
+BATCH_CHARACTERS = 1 << 20
 
 
 class PieceEncoder:
@@ -64,36 +65,62 @@ class PieceEncoder:
         packed = ids.tobytes()
         return [packed[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, piece by piece; pieces that are encoded alike are made equal first."""
-        if "<|" not in text and "Σ" not in text and (text.isascii() or SETTLED.fullmatch(text)):
-            text = text.lower()
-        pieces = STOPS.sub(r" \1", text).split()
-        found = list(map(self.new.get, pieces))
-        if None not in found:
-            return b"".join(found)
-        old, learnt, words = self.old.get, {}, []
-        for piece in {p for p, f in zip(pieces, found, strict=True) if f is None}:
-            if (packed := old(piece)) is not None:
-                learnt[piece] = packed
-            elif piece.isalpha():
-                words.append(piece)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, piece by piece; what no text before had is asked for together.
+
+        Pieces that are encoded alike are made equal first. Texts whose white space Python takes otherwise go whole.
+        """
+        cut: list[list[str] | None] = []
+        for text in texts:
+            if _ODD.search(text):
+                cut.append(None)
+                continue
+            if "<|" not in text and "Σ" not in text and (text.isascii() or SETTLED.fullmatch(text)):
+                text = text.lower()
+            cut.append(STOPS.sub(r" \1", text).split())
+        known = self.new
+        asked = set().union(*[p for p in cut if p is not None])
+        asked.difference_update(known)
+        words, others = [], []
+        for piece in asked:
+            if (packed := self.old.get(piece)) is not None:
+                known[piece] = packed
             else:
-                learnt[piece] = self.whole(piece)
+                (words if piece.isalpha() else others).append(piece)
         if words:
-            learnt.update(zip(words, self._ask(words), strict=True))
-        out = b"".join([f if f is not None else learnt[p] for f, p in zip(found, pieces, strict=True)])
-        self.new.update(learnt if len(text) <= LONGEST else {p: packed for p, packed in learnt.items() if len(p) <= LONGEST})
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+            known.update(zip(words, self._ask(words), strict=True))
+        if others:
+            coded = self.library.encode_batch_fast(others, add_special_tokens=False)
+            known.update({p: array("I", c.ids).tobytes() for p, c in zip(others, coded, strict=True)})
+        find = known.__getitem__
+        out = [self.whole(t) if p is None else b"".join(map(find, p)) for t, p in zip(texts, cut, strict=True)]
+        for piece in asked:
+            if len(piece) > LONGEST:
+                del known[piece]
+        if len(known) > REMEMBERED:
+            self.old, self.new = known, {}
         return out
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
 
 #: A full stop or comma after a letter or digit at the end of a piece: the tokenizer cuts there in any case, but after a
 #: letter whose lower case ends in a mark.
-STOPS = re.compile(r"(?<=[^\W_İ])([.,])(?=\s|\Z)")
+STOPS = re.compile(r"([.,])(?<=[^\W_İ][.,])(?=\s|\Z)")
 #: Python takes these for white space, the tokenizer does not: such texts go to the library as a whole.
-_ODD = "\x1c\x1d\x1e\x1f"
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+#: The encoder of this worker, which lives on from task to task, and the tokenizer it is for.
+_KEPT: dict[str, PieceEncoder] = {}
+
+
+def _encoder(content: str) -> PieceEncoder:
+    if content not in _KEPT:
+        _KEPT.clear()
+        _KEPT[content] = PieceEncoder(content)
+    return _KEPT[content]
 
 
 def with_ids(df: DataFrame, spec: str, text: str = "text", id_column: str = "doc_id", end_id: int = END_ID) -> DataFrame:
@@ -103,18 +130,18 @@ def with_ids(df: DataFrame, spec: str, text: str = "text", id_column: str = "doc
     shared = spark.sparkContext.broadcast(spec)
 
     def run(batches):
-        encoder = PieceEncoder(shared.value)
+        encoder = _encoder(shared.value)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("t").to_pylist()
             at = 0
             while at < len(texts):
                 first, held = at, 0
-                while at < len(texts) and held < BATCH_BYTES:
+                while at < len(texts) and held < BATCH_CHARACTERS:
                     held += len(texts[at])
                     at += 1
                 some = texts[first:at]
-                coded = [encoder.whole(t) if any(c in t for c in _ODD) else encoder.encode(t) for t in some]
+                coded = encoder.encode_all(some)
                 sizes = np.array([0, *[len(c) // 4 + 1 for c in coded]], np.int64).cumsum()
                 values = np.frombuffer(b"".join([c + end for c in coded]), "<u4").astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
