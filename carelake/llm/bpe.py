@@ -27,7 +27,7 @@ from carelake.llm.common import map_rows, ship, text_of
 END = "\n"
 SUFFIX = "</w>"
 #: Words a worker remembers: the newest so many, and those used again of as many before. Longer ones never.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 100_000, 40
 #: Pairs of tokens whose test a worker remembers, until it begins anew.
 PAIRS = 200_000
 NO_ID = -1
@@ -148,7 +148,10 @@ class Vocabulary:
         while size:
             out.append(last[size])
             size = start[size]
-        return out[::-1]
+        out.reverse()
+        if "".join([self.tokens.get(i, "") for i in out]) != text[:-1] + SUFFIX:
+            raise ValueError(f"a word of {len(text) - 1} symbols does not come back from its ids")
+        return out
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -219,10 +222,11 @@ def read_spec(spark: SparkSession, path: str) -> str:
         return file.read()
 
 
-def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), arrays: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), arrays: bool = False, decoded: bool = True) -> DataFrame:
     """`keep`, `packed_ids` (binary, little-endian unsigned 32-bit) and `decoded` for every row.
 
-    With `arrays` the ids come as `token_ids`, an array of integers, instead.
+    With `arrays` the ids come as `token_ids`, an array of integers, instead. Without `decoded` no texts are returned: a
+    word's ids are decoded when it is first encoded, and a word that does not come back fails the task.
 
     `spec` is the content of a tokenizer file whose model is byte-pair encoding over byte symbols with word ends.
     """
@@ -234,14 +238,16 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
 
         def row(text, *kept):
             packed = coder.encode(text)
-            yield *kept, np.frombuffer(packed, "<u4").astype("i4") if arrays else packed, coder.decode(packed)
+            ids = np.frombuffer(packed, "<u4").astype("i4") if arrays else packed
+            yield (*kept, ids, coder.decode(packed)) if decoded else (*kept, ids)
 
         return row
 
     chosen = df.select(text_of(text).alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)] + ["ids array<int>, decoded string" if arrays else "ids binary, decoded string"])
-    return map_rows(chosen, make, schema).toDF(*keep, "token_ids" if arrays else "packed_ids", "decoded")
+    made = ["ids array<int>" if arrays else "ids binary", *["decoded string"] * decoded]
+    schema = ", ".join([f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)] + made)
+    return map_rows(chosen, make, schema).toDF(*keep, "token_ids" if arrays else "packed_ids", *["decoded"] * decoded)
 
 
 def count_ids(packed: Column) -> Column:
