@@ -54,8 +54,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids; a text whose ids don't decode would fail the stage."""
-    return bpe.encode_decode(docs, bpe.read_spec(spark, WORD_BPE), keep=tuple(COLUMNS), arrays=True)
+    """The documents with their token ids; a word that its ids don't decode to fails the stage."""
+    return bpe.encode_decode(docs, bpe.read_spec(spark, WORD_BPE), keep=tuple(COLUMNS), arrays=True, decoded=False)
 
 
 STAGES = [
