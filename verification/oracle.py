@@ -320,6 +320,15 @@ CTES["mart_professional_appointments"] = f"""
         from fact where professional_name is not null group by 1, 2, 3) f
         join dim_professional p on p.full_name = f.professional_name and p.state = f.professional_state"""
 
+CTES["tile_facts"] = """
+    select make_date(f.date_id // 10000, f.date_id // 100 % 100, 1) as month, f.status, f.waiting_time,
+        f.report_evaluation, cast(c.consult_price * 100 as bigint) as price_h,
+        coalesce(p.specialty, 'Não informada') as specialty, coalesce(p.state, 'N/I') as state,
+        coalesce(p.gender_identity, 'N/I') as gender_identity,
+        coalesce(p.sexual_orientation, 'N/I') as sexual_orientation, coalesce(p.ethnic_group, 'N/I') as ethnic_group
+    from fact f left join dim_professional p on p.full_name = f.professional_name and p.state = f.professional_state
+        left join dim_clinic c on c.name = f.clinic_name and c.city = f.clinic_city and c.state = f.clinic_state"""
+
 
 def with_ctes(final: str) -> str:
     """``final`` preceded by the expressions it needs, in dependency order."""

@@ -17,17 +17,18 @@ from pyspark.sql import types as T
 from carelake import functions as fn
 from carelake.config import FieldMap, RefreshConfig, ValueMap
 from carelake.functions.clean import MODALITY
+from carelake.functions.measures import date_of_id
 from carelake.operators import checks, dimensions, marts
 from carelake.operators.dedup import any_per_key, latest_cancellation, latest_per_key, newest, newest_touched
 from carelake.operators.fact import FACT_COLUMNS, fact_appointments, fact_rejects
 from carelake.operators.typed import build_typed, clean_rows, rejected_values
-from carelake.operators.upsert import insert_new, upsert, upsert_metrics
-from carelake.plans import dashboard
+from carelake.operators.upsert import apply_changes, changes, insert_new, upsert, upsert_metrics
+from carelake.plans import dashboard, tiles
 from carelake.plans.refresh import Refresh, RefreshFailed, rejected_report, summary_totals
-from carelake.schemas import MODEL_SCHEMAS, PII_COLUMNS, SPECS
+from carelake.schemas import MODEL_KEYS, MODEL_SCHEMAS, NATURAL_KEYS, PII_COLUMNS, SPECS
 from carelake.session import tune
 from carelake.sources import readers
-from carelake.sources.store import LayerStore, materialize, scratch_root
+from carelake.sources.store import PART, ROW, LayerStore, materialize, month_of, scratch_root
 from verification import oracle
 from verification.oracle import AS_OF, half_up, hundredths, mean_h, pct_h
 from verification.standin import DriverTables, source_table
@@ -200,12 +201,15 @@ register(
 )(lambda q: readers.null_pii(q.source("user")).select("id", "password", "email", "phone", "first_name"))
 register(
     "s5_seed_if_empty",
-    """select case when count(*) = 0 then 'seeded' else 'kept' end as outcome, count(*) as n
-    from source_appointment""",
+    """select 'full' as source_table, id, status from source_appointment where status = 'cancelled'
+    union all select 'empty', '1', 'scheduled'""",
 )(
-    lambda q: readers.seed_if_empty(
-        q.source("appointment"), {"id": "1", "status": "scheduled"}
-    ).agg(F.lit("kept").alias("outcome"), F.count(F.lit(1)).alias("n"))
+    lambda q: _union(
+        readers.seed_if_empty(
+            q.source("appointment").filter(kept).select("id", "status"), {"id": "1", "status": "scheduled"}
+        ).select(F.lit(name).alias("source_table"), "id", "status")
+        for name, kept in (("full", "status = 'cancelled'"), ("empty", "status = 'never used'"))
+    )
 )
 register(
     "s6_raw_row_counts",
@@ -294,6 +298,44 @@ register(
     + """select count(*) as eligible, count(*) filter (where t.k is null) as inserted,
         count(*) filter (where t.k is not null) as updated from s left join t on s.k = t.k""",
 )(lambda q: upsert_metrics(*_order_versions(q), ["k"]))
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn(ROW, fn.surrogate(*df.columns)).withColumn(PART, month_of(F.col("last_order")))
+
+
+def _feed(q: Layers) -> tuple[DataFrame, DataFrame, DataFrame]:
+    target, src = (materialize(_hashed(df), "versions") for df in _order_versions(q))
+    found = changes(target.select("k", ROW, PART), src, ["k"])
+    return target, src, materialize(found, "feed")
+
+
+def _upsert_by_parts(q: Layers) -> DataFrame:
+    """Only months that a changed row is in, or was in, are made anew."""
+    target, _, found = _feed(q)
+    feed = found.filter("_op is not null")
+    touched = feed.select(F.explode(F.array(PART, "_old_part")).alias(PART)).distinct()
+    rest, kept = (target.join(touched, PART, how) for how in ("left_semi", "left_anti"))
+    merged = apply_changes(rest.drop(PART), feed, ["k"])
+    return merged.unionByName(kept.drop(PART)).drop(ROW)
+
+
+register(
+    "s9_upsert_by_parts",
+    _VERSIONS + "select * from s union all select * from t where k not in (select k from s)",
+)(_upsert_by_parts)
+register(
+    "s11_change_feed",
+    _VERSIONS
+    + """select case when t.k is null then 'insert' when (s.last_order, s.n, s.status) is distinct from
+            (t.last_order, t.n, t.status) then 'update' end as op, count(*) as n,
+        count(*) filter (where date_trunc('month', s.last_order) <> date_trunc('month', t.last_order)) as moved
+    from s left join t on s.k = t.k group by 1""",
+)(
+    lambda q: _feed(q)[2].groupBy(F.col("_op").alias("op")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(PART) != F.col("_old_part")).alias("moved")
+    )
+)
 register(
     "s12_null_after_use",
     """select user_id, cast(null as varchar) as first_name, cast(null as varchar) as last_name, patient_key
@@ -580,6 +622,33 @@ register(
     "select appointment_fingerprint, cancellation_created_at, cancellation_reason from fact",
 )(lambda q: q.fact("appointment_fingerprint", "cancellation_created_at", "cancellation_reason"))
 
+
+
+def _superseded(q: Layers) -> DataFrame:
+    """Facts before and after cancelled appointments have moved a year on: the old ones go, the new ones come."""
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn(ROW, fn.surrogate(*df.columns)).withColumn(PART, month_of(date_of_id(F.col("date_id"))))
+
+    columns = ("appointment_fingerprint", "date_id", "status")
+    before = materialize(hashed(q.fact(*columns)), "facts")
+    moves = F.lower("status") == "cancelled"
+    later = F.when(moves, F.col("appointment_date") + F.expr("interval 366 days")).otherwise(F.col("appointment_date"))
+    moved = {"appointment": q.typed["appointment"].withColumn("appointment_date", later)}
+    after = materialize(hashed(fact_appointments(moved, None, columns)), "facts-after")
+    found = changes(before.select("appointment_fingerprint", ROW, PART), after, ["appointment_fingerprint"], removing=True)
+    return found.groupBy(F.col("_op").alias("op"), F.coalesce(PART, "_old_part").alias("month")).agg(F.count(F.lit(1)).alias("facts"))
+
+
+_FACT_MONTH = "strftime(make_date(date_id // 10000, date_id // 100 % 100, 1), '%Y-%m')"
+register(
+    "m10_superseded_facts",
+    f"""select cast(null as varchar) as op, {_FACT_MONTH} as month, count(*) as facts from fact
+        where lower(coalesce(status, '')) <> 'cancelled' group by 2
+    union all select 'remove', {_FACT_MONTH}, count(*) from fact where lower(status) = 'cancelled' group by 2
+    union all select 'insert', strftime(appointment_date + interval 366 days, '%Y-%m'), count(*) from typed_appointment
+        where appointment_date is not null and lower(status) = 'cancelled' group by 2""",
+)(_superseded)
+
 # --- marts -----------------------------------------------------------------------------------------
 
 register(
@@ -813,6 +882,86 @@ register(
 )
 
 
+def _cube(q: Layers) -> DataFrame:
+    fact = q.fact("date_id", "professional_id", "clinic_id", "report_id", "status", "waiting_time")
+    return tiles.appointment_cube(fact, q.professionals("professional_id", *tiles.ATTRIBUTES), q.dim_report, q.dim_clinic)
+
+
+_EUROPE = tiles.Filters("quarter", specialty="EUROPE", quarter=2)
+_BY_YEAR = tiles.Filters("year", gender_identity="N/I")
+_IN_ASIA = tiles.Filters("month", ethnic_group="CHINA", quarter=1)
+_WHERE = {
+    _EUROPE: ("quarter", "specialty = 'EUROPE' and quarter(month) = 2"),
+    _BY_YEAR: ("year", "gender_identity = 'N/I'"),
+    _IN_ASIA: ("month", "ethnic_group = 'CHINA' and quarter(month) = 1"),
+}
+_SUM = "cast(coalesce(sum({0}), 0) as bigint) as {0}"
+
+
+def _tile_sql(filters: tiles.Filters, measures: str, by: str = "", having: str = "") -> str:
+    grain, where = _WHERE[filters]
+    return f"""select cast(date_trunc('{grain}', month) as date) as period, {by}{measures}
+        from tile_facts where {where} group by 1{', 2' if by else ''} {having}"""
+
+
+_COMPLETED = "count(*) filter (where lower(status) = 'completed') as completed"
+_CANCELLED = "count(*) filter (where lower(status) = 'cancelled') as cancelled"
+_TILES = {
+    "q17_tile_completed": (tiles.tile_completed, _EUROPE, _tile_sql(_EUROPE, _COMPLETED)),
+    "q17_tile_cancellation_rate": (
+        tiles.tile_cancellation_rate, _BY_YEAR,
+        f"select *, {hundredths(pct_h('cancelled', 'appointments'))} as cancellation_rate from ("
+        + _tile_sql(_BY_YEAR, f"{_CANCELLED}, count(*) as appointments") + ")",
+    ),
+    "q17_tile_waiting": (
+        tiles.tile_waiting, _IN_ASIA,
+        f"select period, {hundredths(mean_h('s', 'n'))} as avg_waiting_minutes from ("
+        + _tile_sql(_IN_ASIA, "cast(coalesce(sum(nullif(waiting_time, 0)), 0) as bigint) as s, count(nullif(waiting_time, 0)) as n") + ")",
+    ),
+    "q17_tile_completed_vs_cancelled": (tiles.tile_completed_vs_cancelled, _BY_YEAR, _tile_sql(_BY_YEAR, f"{_COMPLETED}, {_CANCELLED}")),
+    "q17_tile_status": (
+        tiles.tile_status, _EUROPE,
+        "select period, completed, cancelled, n - completed - cancelled as other from ("
+        + _tile_sql(_EUROPE, f"{_COMPLETED}, {_CANCELLED}, count(*) as n") + ")",
+    ),
+    "q17_tile_rating_by_state": (
+        tiles.tile_rating_by_state, _EUROPE,
+        f"select period, state, ratings, {hundredths(mean_h('s', 'ratings'))} as avg_rating from ("
+        + _tile_sql(_EUROPE, "count(report_evaluation) as ratings, cast(sum(report_evaluation) as bigint) as s", "state, ", "having count(report_evaluation) > 0") + ")",
+    ),
+    "q17_tile_price": (
+        tiles.tile_price, _BY_YEAR,
+        f"select period, {hundredths(half_up('s', 'n'))} as avg_consult_price from ("
+        + _tile_sql(_BY_YEAR, "cast(sum(price_h) as bigint) as s, count(price_h) as n", having="having count(price_h) > 0") + ")",
+    ),
+    "q17_tile_by_specialty": (tiles.tile_by_specialty, _IN_ASIA, _tile_sql(_IN_ASIA, "count(*) as appointments", "specialty, ")),
+}
+for _name, (_tile, _filters, _sql) in _TILES.items():
+    register(_name, _sql)(lambda q, t=_tile, f=_filters: t(_cube(q), f))
+register(
+    "q17_tile_professionals",
+    f"""select {_BAND} as rating_band, count(*) as professionals, cast(sum(total_appointments) as bigint) as total_appointments
+    from mart_professionals where coalesce(specialty, 'Não informada') = 'EUROPE' group by 1""",
+)(lambda q: tiles.tile_professionals(q.mart_professionals, tiles.Filters(specialty="EUROPE")))
+register(
+    "q17_tile_age_share",
+    f"""select period, age_group, total_patients,
+        {hundredths(pct_h('total_patients', 'cast(sum(total_patients) over (partition by period) as bigint)'))} as share
+    from (select cast(date_trunc('year', period_month) as date) as period, age_group,
+            cast(sum(total_patients) as bigint) as total_patients
+        from mart_groups where sexual_orientation = 'ASIA' group by 1, 2)""",
+)(lambda q: tiles.tile_age_share(q.mart_patients, tiles.Filters("year", sexual_orientation="ASIA")))
+register(
+    "q17_tile_patients",
+    f"""select period, total_patients, active_patients,
+        case when prev > 0 then {hundredths(pct_h('total_patients - prev', 'prev'))} end as growth_rate
+    from (select *, lag(total_patients) over (order by period) as prev
+        from (select cast(date_trunc('quarter', period_month) as date) as period,
+                cast(sum(total_patients) as bigint) as total_patients, cast(sum(active_patients) as bigint) as active_patients
+            from mart_groups where gender_identity = 'BUILDING' group by 1))""",
+)(lambda q: tiles.tile_patients(q.mart_patients, tiles.Filters("quarter", gender_identity="BUILDING")))
+
+
 def _sample_sql(entity: str) -> str:
     columns, newest_by = dashboard.SAMPLES[entity]
     shown = ", ".join(f"cast({c} as double) as {c}" if c == "consult_price" else c for c in columns)
@@ -827,22 +976,62 @@ for _entity in dashboard.SAMPLES:
 
 # --- validation ------------------------------------------------------------------------------------
 
+
+
+def _planted_duplicates(q: Layers) -> DataFrame:
+    """Facts with the cancelled ones twice, as an append-only load would leave them."""
+    fact = q.fact("appointment_fingerprint", "status")
+    twice = F.when(F.lower("status") == "cancelled", F.lit(2)).otherwise(F.lit(1))
+    return checks.check_duplicate_fingerprints(fact.withColumn("_copy", F.explode(F.sequence(F.lit(1), twice))))
+
+
 register(
     "v1_duplicate_fingerprints",
-    "select appointment_fingerprint, count(*) as n from fact group by 1 having count(*) > 1",
-)(lambda q: checks.check_duplicate_fingerprints(q.fact("appointment_fingerprint")))
+    "select appointment_fingerprint, cast(2 as bigint) as n from fact where lower(status) = 'cancelled'",
+)(_planted_duplicates)
 register(
     "v1_duplicate_source_ids",
     "select id, count(*) as n from clean_appointment group by 1 having count(*) > 1",
 )(lambda q: checks.check_duplicate_keys(clean_rows(q.raw("appointment"), SPECS["appointment"]), ["id"]))
+
+
+def _planted_collisions(q: Layers) -> DataFrame:
+    """Dimension rows whose key is the first digit of a hash of their first natural column: natural keys collide."""
+    parts = []
+    for dim, natural in NATURAL_KEYS.items():
+        cut = F.substring(F.md5(F.coalesce(F.col(natural[0]).cast("string"), F.lit(""))), 1, 1)
+        found = checks.check_surrogate_collisions(q.dims[dim].withColumn("_key", cut), "_key", natural)
+        parts.append(found.select(F.lit(dim).alias("dimension"), F.col("_key").alias("cut_key"), "n"))
+    return _union(parts)
+
+
+def _planted_sql(dim: str, natural: tuple[str, ...]) -> str:
+    first = f"strftime({natural[0]}, '%Y-%m-%d %H:%M:%S')" if natural[0] == "created_at" else natural[0]
+    return f"""select '{dim}' as dimension, substr(md5(coalesce({first}, '')), 1, 1) as cut_key, count(*) as n
+        from (select distinct {', '.join(natural)} from {dim}) group by 2 having count(*) > 1"""
+
+
+register(
+    "v1_planted_collisions", " union all ".join(_planted_sql(dim, natural) for dim, natural in NATURAL_KEYS.items())
+)(_planted_collisions)
+
+
+def _collisions(q: Layers) -> DataFrame:
+    """Rows of each dimension, and keys that different natural keys share."""
+    parts = []
+    for dim, natural in NATURAL_KEYS.items():
+        df, none = materialize(q.dims[dim], dim), F.lit(0).cast("bigint")
+        n = F.count(F.lit(1))
+        found = checks.check_surrogate_collisions(df, MODEL_KEYS[dim], natural)
+        parts += [df.agg(n.alias("rows_checked"), none.alias("collisions")), found.agg(none.alias("rows_checked"), n.alias("collisions"))]
+        parts[-2:] = [p.select(F.lit(dim).alias("dimension"), "rows_checked", "collisions") for p in parts[-2:]]
+    return _union(parts).groupBy("dimension").agg(F.sum("rows_checked").alias("rows_checked"), F.sum("collisions").alias("collisions"))
+
+
 register(
     "v1_surrogate_collisions",
-    "select cast(0 as bigint) as report_id, cast(0 as bigint) as n from dim_report where false",
-)(
-    lambda q: checks.check_surrogate_collisions(
-        q.dim_report, "report_id", ["created_at", "feedback", "evaluation"]
-    )
-)
+    " union all ".join(f"select '{dim}' as dimension, count(*) as rows_checked, cast(0 as bigint) as collisions from {dim}" for dim in NATURAL_KEYS),
+)(_collisions)
 
 
 def _completed_totals(q: Layers) -> DataFrame:
@@ -860,6 +1049,30 @@ register(
 )(_completed_totals)
 
 
+def _completed_by_month(q: Layers) -> DataFrame:
+    columns = ("professional_id", "date_id", "created_date_id", "status", "type", "waiting_time")
+    fact = materialize(q.fact(*columns), "fact")
+    return checks.completed_by_month(marts.mart_professional_appointments(q.professionals("professional_id", "specialty"), fact), fact)
+
+
+register(
+    "v2_completed_by_month",
+    """select coalesce(m.month, f.month) as month, coalesce(m.n, 0) as mart_completed, coalesce(f.n, 0) as fact_completed
+    from (select appointment_period as month, cast(sum(completed_appointments) as bigint) as n
+            from mart_professional_appointments group by 1) m
+        full join (select make_date(date_id // 10000, date_id // 100 % 100, 1) as month,
+                count(*) filter (where lower(status) = 'completed') as n
+            from fact where professional_name is not null group by 1) f on f.month = m.month""",
+)(_completed_by_month)
+register(
+    "v6_model_pii",
+    """select 'dim_patient' as table_name, 'first_name' as column_name, count(first_name) as filled from dim_patient
+    union all select 'dim_patient', 'last_name', count(last_name) from dim_patient
+    union all select 'dim_professional', 'full_name', count(*) filter (where not regexp_full_match(full_name, '[0-9a-f]{32}'))
+    from dim_professional""",
+)(lambda q: checks.model_pii({"dim_patient": q.patients("first_name", "last_name"), "dim_professional": q.professionals("full_name")}))
+
+
 def _reference_counts(q: Layers) -> DataFrame:
     dims = {n: materialize(d, n) for n, d in q.dims.items()}
     fact = materialize(fact_appointments(q.typed, dims), "fact")
