@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelake.llm.bpe import SETTLED
-from carelake.llm.common import ship, text_of
+from carelake.llm.common import ship, text_of, written
 
 #: Pieces between white space whose ids a worker remembers: the newest so many, and those used again of as many before.
 REMEMBERED, LONGEST = 300_000, 40
@@ -49,6 +49,9 @@ class PieceEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
+        special = self.library.get_added_tokens_decoder()
+        #: A token that no piece gives, as text and number.
+        self.between = next(((t.content, i) for i, t in special.items() if t.special and t.content.startswith("<|")), None)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -65,6 +68,18 @@ class PieceEncoder:
         packed = ids.tobytes()
         return [packed[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
 
+    def _ask_apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of any number of words: one question, a special token between each two of them."""
+        if self.between is not None and not any("<|" in p for p in pieces):
+            mark, number = self.between
+            joined = self.library.encode_batch_fast([f" {mark} ".join(pieces)], add_special_tokens=False)[0].ids
+            ids = np.array(joined, "<u4")
+            stops = np.flatnonzero(ids == number)
+            if len(stops) == len(pieces) - 1:
+                return [ids[a:b].tobytes() for a, b in zip([0, *(stops + 1)], [*stops, len(ids)], strict=True)]
+        coded = self.library.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, piece by piece; what no text before had is asked for together.
 
@@ -90,8 +105,7 @@ class PieceEncoder:
         if words:
             known.update(zip(words, self._ask(words), strict=True))
         if others:
-            coded = self.library.encode_batch_fast(others, add_special_tokens=False)
-            known.update({p: array("I", c.ids).tobytes() for p, c in zip(others, coded, strict=True)})
+            known.update(zip(others, self._ask_apart(others), strict=True))
         find = known.__getitem__
         out = [self.whole(t) if p is None else b"".join(map(find, p)) for t, p in zip(texts, cut, strict=True)]
         for piece in asked:
@@ -185,10 +199,10 @@ def placed(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFra
     stored = read(spark, path)
     kind = dict(stored.dtypes)[id_column]
     rows = stored.select(F.col(id_column).alias("id"), F.input_file_name().alias("file"), "ids")
-    rows = rows.mapInArrow(_sums, f"id {kind}, file string, n_tokens long, ids_crc32 long")
+    # Written, so that the ids are read once.
+    rows = written(rows.mapInArrow(_sums, f"id {kind}, file string, n_tokens long, ids_crc32 long"), "token-sums")
     # all files' rows in one order: files by their least id, rows by id, crc and size where ids repeat
-    counts = stored.select(F.col(id_column).alias("id"), F.input_file_name().alias("file"), F.size("ids").cast("long").alias("n"))
-    sizes = counts.groupBy("file").agg(F.sum("n").alias("n"), F.min("id").alias("least"))
+    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("id").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("file", before.alias("offset"))
     within = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
