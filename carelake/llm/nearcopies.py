@@ -8,7 +8,9 @@ Members of a small bucket are compared in pairs. Those of a large one are first
 these link need no comparison among each other, as components are all that counts. Then all pairs of a large bucket
 that are still apart are compared, without a cap.
 
-Words are those of simhash. Texts of fewer than five words have one shingle, texts without words equal empty sets.
+Words are those of simhash. Texts of fewer than five words have one shingle, texts without words equal empty sets, and
+null texts count as empty. Null and repeated ids are rows of their own; repeated rows are near copies of each other.
+An empty table has no result. Further columns are passed over. Texts are processed whole.
 """
 
 from __future__ import annotations
