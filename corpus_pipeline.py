@@ -1,4 +1,8 @@
-"""From raw documents to token ids: stages that each write what the next one reads."""
+"""From raw documents to token ids: stages that each write what the next one reads.
+
+Stages hand on the five columns of documents and drop further ones. Null and empty texts are clean, equal to each other
+for the near-copy stage, and encoded as no ids; null ids are ids like others, the last. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
