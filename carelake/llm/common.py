@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -82,6 +83,15 @@ def digest(column: Column) -> Column:
     return F.unhex(F.sha2(column, 256))
 
 
+def give_back() -> None:
+    """Returns what Python, Arrow and the C library hold unused to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[..., Iterator[tuple]]],
@@ -116,8 +126,7 @@ def map_rows(
                 yield _batch(out, arrow)
         # a worker lives on: what this task held goes back to the machine
         del function
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, shape)
 
