@@ -15,8 +15,8 @@ query alone, has no result.
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,9 @@ from carelake.llm.common import map_rows, written
 
 #: Vectors of a page, and of a tree, at most; queries of a block.
 PAGE, TREE, BLOCK = 256, 8_192, 4_096
+#: Pairs of a query and a page whose bounds a task holds at once.
+STATES = 1 << 20
+_LAST = np.iinfo(np.int64).max
 _ENTRY = "vector array<double>, id long, parent double, radius double, least long, child int"
 
 
@@ -100,68 +103,105 @@ class Page:
 
 
 class Searcher:
-    """Best-first search for the k highest scores in one tree."""
+    """Best-first search for the k highest scores in one tree, for many queries at once.
+
+    Each query opens its own most promising page next. Queries that open the same page are compared with it together,
+    so a visit costs a share of one matrix product.
+    """
 
     def __init__(self, pages: list) -> None:
         self.pages = {p["page"]: Page(p["entries"]) for p in pages}
         root = self.pages[0]
         self.largest = 0.0
+        self.least = np.full(len(self.pages), np.iinfo(np.int64).min)
         for page in self.pages.values():
             if page.leaf and len(page.ids):
                 self.largest = max(self.largest, float(page.squares.max()))
+            elif not page.leaf:
+                self.least[page.child] = page.least
         self.width = root.vectors.shape[1] - 1
         self.opened = self.compared = 0
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id), best first, without the query's own id."""
-        full = float(query @ query)
-        q = np.zeros(self.width)
-        q[: min(len(query), self.width)] = query[: self.width]
+        return next(self.search_all([own], [query], k))[1]
+
+    def search_all(self, own: list[int], queries: list, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Each query's own id with its (score, id), best first."""
+        step = max(1, STATES // len(self.pages))
+        for at in range(0, len(own), step):
+            names = np.array(own[at : at + step], np.int64)
+            scores, ids = self._block(names, queries[at : at + step], k)
+            for name, line, found in zip(names.tolist(), scores, ids, strict=True):
+                known = line > -np.inf
+                yield name, [(int(s), int(i)) for s, i in zip(line[known], found[known], strict=True)]
+
+    def _block(self, own: np.ndarray, queries: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+        asked = _matrix(queries)
+        full = (asked**2).sum(axis=1)
+        points = np.zeros((len(own), self.width))
+        shared = min(self.width, asked.shape[1])
+        points[:, :shared] = asked[:, :shared]
         base = full + self.largest  # of |q|^2 + M^2
-        slack = max(0.25, 1e-9 * base)
-        scores, ids = np.empty(0), np.empty(0, np.int64)
-        worst, worst_id = -math.inf, 0
-
-        def hopeless(bound: float, least: int) -> bool:
-            return bound < worst - slack or (bound < worst + 1 - slack and least > worst_id)
-
-        heap: list[tuple[float, int, int, float]] = [(-math.inf, 0, 0, -1.0)]
-        while heap:
-            best, least, number, to_router = heapq.heappop(heap)
-            if len(scores) == k and hopeless(-best, least):
-                if -best < worst - slack:
-                    break
-                continue
-            page = self.pages[number]
-            self.opened += 1
-            chosen = slice(None)
-            if len(scores) == k and to_router >= 0:
+        slack = np.maximum(0.25, 1e-9 * base)
+        scores, ids = np.full((len(own), k), -np.inf), np.full((len(own), k), _LAST)
+        # best possible score of each page that is known and not yet opened; distance to its routing vector
+        bounds, away = np.full((len(own), len(self.pages)), -np.inf), np.zeros((len(own), len(self.pages)))
+        bounds[:, 0] = np.inf
+        active = np.arange(len(own))
+        while len(active):
+            worst = scores[active, -1:]
+            open_ = bounds[active]
+            lost = (open_ < worst - slack[active, None]) | ((open_ < worst + 1 - slack[active, None]) & (self.least > ids[active, -1:]))
+            open_[lost] = -np.inf
+            bounds[active] = open_
+            going = open_.max(axis=1) > -np.inf
+            active, chosen = active[going], open_[going].argmax(axis=1)
+            for number in np.unique(chosen).tolist():
+                group = active[chosen == number]
+                bounds[group, number] = -np.inf
+                page = self.pages[number]
+                self.opened += len(group)
                 # |d(q, router) - d(entry, router)| - radius bounds the distance from below
-                reach = math.sqrt(max(base - 2 * (worst - slack), 0.0))
-                chosen = np.flatnonzero(np.abs(to_router - page.parent) - page.radius <= reach)
-                if not len(chosen):
+                reach = np.sqrt(np.maximum(base[group] - 2 * (scores[group, -1] - slack[group]), 0.0))
+                near = np.abs(away[group, number][:, None] - page.parent) - page.radius <= reach[:, None]
+                wanted = np.flatnonzero(near.any(axis=0))
+                if not len(wanted):
+                    continue
+                near = near[:, wanted]
+                products = points[group] @ page.plain[wanted].T
+                self.compared += products.size
+                if page.leaf:
+                    _merge(scores, ids, group, np.where(near & (page.ids[wanted] != own[group, None]), products, -np.inf), page.ids[wanted])
                     continue
-            found = page.plain[chosen] @ q
-            self.compared += len(found)
-            if page.leaf:
-                names = page.ids[chosen]
-                good = (found >= worst) & (names != own)
-                if good.any():
-                    scores, ids = np.concatenate([scores, found[good]]), np.concatenate([ids, names[good]])
-                    if len(scores) > k:
-                        order = np.lexsort((ids, -scores))[:k]
-                        scores, ids = scores[order], ids[order]
-                    if len(scores) == k:
-                        order = np.lexsort((ids, -scores))
-                        worst, worst_id = float(scores[order[-1]]), int(ids[order[-1]])
-                continue
-            away = np.sqrt(np.maximum(full + page.squares[chosen] - 2 * found, 0.0))
-            bounds = (base - np.maximum(away - page.radius[chosen], 0.0) ** 2) / 2
-            for bound, low, child, d in zip(bounds.tolist(), page.least[chosen].tolist(), page.child[chosen].tolist(), away.tolist(), strict=True):
-                if len(scores) < k or not hopeless(bound, low):
-                    heapq.heappush(heap, (-bound, low, child, d))
-        order = np.lexsort((ids, -scores))
-        return [(int(scores[i]), int(ids[i])) for i in order]
+                apart = np.sqrt(np.maximum(full[group, None] + page.squares[wanted] - 2 * products, 0.0))
+                best = (base[group, None] - np.maximum(apart - page.radius[wanted], 0.0) ** 2) / 2
+                places = np.ix_(group, page.child[wanted])
+                bounds[places], away[places] = np.where(near, best, -np.inf), apart
+        return scores, ids
+
+
+def _merge(scores: np.ndarray, ids: np.ndarray, group: np.ndarray, found: np.ndarray, names: np.ndarray) -> None:
+    """Takes a page's products into the best scores of the queries in `group`; ties go to the smaller id."""
+    k = scores.shape[1]
+    floor = scores[group, -1].copy()
+    if found.shape[1] > k:  # what is below the page's own k-th product is no use either
+        fresh = np.flatnonzero(floor == -np.inf)
+        floor[fresh] = np.partition(found[fresh], -k, axis=1)[:, -k]
+    good = (found >= floor[:, None]) & (found > -np.inf)
+    counts = good.sum(axis=1)
+    for rows in (np.flatnonzero((counts > 0) & (counts <= k)), np.flatnonzero(counts > k)):
+        if not len(rows):
+            continue
+        width = int(counts[rows].max())
+        row, column = np.nonzero(good[rows])
+        place = k + np.arange(len(row)) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
+        at = group[rows]
+        s, i = np.full((len(rows), k + width), -np.inf), np.full((len(rows), k + width), _LAST)
+        s[:, :k], i[:, :k] = scores[at], ids[at]
+        s[row, place], i[row, place] = found[rows][row, column], names[column]
+        order = np.lexsort((i, -s))[:, :k]
+        scores[at], ids[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
 def _pages():
@@ -196,9 +236,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     def make():
         def row(pages, asked):
             searcher = Searcher(pages)
-            for r in asked:
-                for score, other in searcher.search(r["id"], np.array(r["v"]), k):
-                    yield r["id"], other, score
+            for own, best in searcher.search_all([r["id"] for r in asked], [r["v"] for r in asked], k):
+                for score, other in best:
+                    yield own, other, score
 
         return row
 
