@@ -115,6 +115,20 @@ def near_duplicates(prints: DataFrame, radius: int = 2, id_column: str = "doc_id
     return prints.join(placed.join(least, "root_fp").select("fp", "root_fp", "component_id"), "fp")
 
 
+def surplus(df: DataFrame, radius: int = 2, width: int = 3, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The id and `text_key` (XXH64 of the text) of all rows but the first of each component: smallest id, ids before none.
+
+    Rows alike in id and text are one row here.
+    """
+    keyed = df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
+    prints = written(fingerprints(keyed, keep=("doc_id", "text_key"), width=width).distinct(), "prints")
+    grouped = written(near_duplicates(prints, radius).select("doc_id", "text_key", "root_fp"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    firsts = grouped.groupBy("root_fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = grouped.join(firsts, "root_fp").where(~place.eqNullSafe(F.col("first")))
+    return later.select(F.col("doc_id").alias(id_column), "text_key")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -93,6 +93,23 @@ def test_components_of_a_long_chain_and_of_none(spark):
     assert components(chain.where("a < 0")).count() == 0
 
 
+def test_surplus_leaves_the_first_of_each_component(spark):
+    rows = [(i, t, 0) for i, t in enumerate([*texts(5, 150), "", " ", None, "a b", "A  B"])]
+    rows += [(None, rows[3][1], 0), (None, "alone without an id", 0), (7, rows[7][1], 0), (400, rows[3][1], 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    gone = [r["doc_id"] for r in simhash.surplus(df).collect()]
+    prints = {(i, t): slow_fingerprint(t or "") for i, t, _ in rows}
+    values = set(prints.values())
+    root = unions([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2], values)
+    seen, want = set(), []
+    for r in sorted(prints, key=lambda r: (r[0] is None, r[0] or 0)):
+        if root[prints[r]] in seen:
+            want.append(r[0])
+        seen.add(root[prints[r]])
+    assert sorted(map(str, gone)) == sorted(map(str, want)) and len(gone) > 20
+    assert simhash.surplus(df.where("doc_id < 0")).count() == 0
+
+
 def slow_line_dedup(rows):
     first: dict = {}
     order = sorted(((i is None, i or 0, t, i) for i, t in set(rows) if t is not None), key=lambda x: x[:2])
