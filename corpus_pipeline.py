@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import bpe, decontaminate, linededup, nearcopies, toxicity
+from carelake.llm import bpe, decontaminate, linededup, simhash, toxicity
 from carelake.llm.common import small, table, written
 from carelake.llm.queries import WORD_BPE, held_out
 
@@ -39,14 +39,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard of 0.8 over five words): that with the smallest id, ids before none."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    grouped = written(nearcopies.near_copies(keyed), "grouped")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    firsts = grouped.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = grouped.join(firsts, "root").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_key")
-    kept = _without(docs, gone)
-    if grouped.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+    """One document of each group of near copies (two bits over three words): that with the smallest id, ids before none."""
+    kept = _without(docs, simhash.surplus(docs))
+    if docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])  # rows alike in both: the first of its group may be there twice
     return kept.select(COLUMNS)
 
