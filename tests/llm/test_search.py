@@ -62,6 +62,25 @@ def test_bounds_save_comparisons(monkeypatch):
     assert searcher.compared < 20 * 4000 / 2
 
 
+@pytest.mark.parametrize("states", [1, 500, 1 << 20])
+def test_queries_together_find_what_each_finds(monkeypatch, states):
+    monkeypatch.setattr(mtree, "PAGE", 16)
+    monkeypatch.setattr(mtree, "STATES", states)
+    rng = np.random.default_rng(2)
+    points = rng.integers(-2, 3, (600, 4)).astype(float)  # many ties
+    points[100:250] = points[100]
+    builder = mtree.Builder(np.arange(600) - 300, points)
+    names = ("vector", "id", "parent", "radius", "least", "child")
+    searcher = mtree.Searcher([{"page": n, "entries": [dict(zip(names, e, strict=True)) for e in p]} for n, p in enumerate(builder.pages)])
+    asked = range(0, 600, 7)
+    found = dict(searcher.search_all([i - 300 for i in asked], [points[i] for i in asked], 12))
+    for i in asked:
+        want = sorted((-int(s), j - 300) for j, s in enumerate(points @ points[i]) if j != i)[:12]
+        assert found[i - 300] == [(-s, j) for s, j in want]
+    assert list(searcher.search_all([], [], 12)) == []
+    assert len(searcher.search(-300, np.array([1.0]), 700)) == 599  # a shorter vector, and fewer rows than asked for
+
+
 def documents(spark, rows):
     return spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, shard int")
 
