@@ -167,3 +167,9 @@ def test_far_off_dates_end_no_run(spark):
     days = dim_date(df.filter("t < timestamp '2100-01-01'").select(F.col("t").alias("appointment_date"), F.lit("2400-01-01").cast("timestamp_ntz").alias("created_at")))
     assert days.count() == 138793
     assert spark.range(1).select(pct(F.col("id") + 9223372036854775807, F.col("id") + 1).alias("p")).first().p is not None
+
+
+def test_texts_without_a_digit_are_no_times_and_cost_no_patterns(spark):
+    df = spark.createDataFrame([(t,) for t in ("", "  ", "junk", "Jan", "May, PM", "Z", "-", None)], "t string").select("t", to_utc("t").alias("u"))
+    assert [r.u for r in df.collect()] == [None] * 8
+    assert "RLIKE(trim(t" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and ", [0-9])" in plan
