@@ -231,3 +231,38 @@ def test_deleted_months_leave_their_part(spark, source, tmp_path):
     store.publish()
     assert [r.id for r in LayerStore(spark, str(tmp_path)).read_published("raw", "t").collect()] == [2]
     assert store.read(TableVersion({}, version.schema, "v")).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 1 << 40])
+def test_a_large_first_load_is_written_where_its_rows_are(spark, tmp_path, monkeypatch, least):
+    rows = [(f"r{n % 40}", f"20{10 + n % 3}-0{1 + n % 9}-11", "", "x", str(n % 5), f"a{n}", "12", "7") for n in range(60)]
+    source = spark.createDataFrame(rows, list(SPECS["report"].raw_columns)).repartition(3)
+    source.write.parquet(str(tmp_path / "report"))
+    plans, plain = {}, LayerStore.write_parts
+
+    def noted(self, df, layer, table, sort_by=None, gather=True, **options):
+        plans[layer, table] = gather or "Rebalance" in df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(self, df, layer, table, sort_by, gather, **options)
+
+    monkeypatch.setattr(LayerStore, "write_parts", noted)
+    monkeypatch.setattr(refresh, "SPREAD_BYTES", least)
+    run = Refresh(spark, RefreshConfig(root=str(tmp_path / "out"), source=SourceConfig(format="parquet", path=str(tmp_path))))
+    raw = run.load_raw(SPECS["report"])
+    typed = run.load_typed(SPECS["report"], raw)
+    assert plans == {("raw", "report"): least > 1, ("typed", "report"): least > 1}
+    assert same(raw, source) and typed.count() == typed.select("report_id").distinct().count() == 40
+    for layer, column in (("raw", F.substring("created_at", 1, 7)), ("typed", month_of(F.col("created_at")))):
+        parts = run.versions[layer, "report"].parts
+        assert len(parts) == 9
+        for part in parts:
+            found = run.store.read(run.versions[layer, "report"], [part])
+            assert [r[0] for r in found.select(column).distinct().collect()] == [part]
+    assert run._gathers("typed", "profile_disability_types", "report")
+
+
+def test_bytes_of_files_are_counted_no_further_than_needed(spark, tmp_path):
+    spark.range(1000).repartition(2).write.parquet(str(tmp_path / "t"))
+    files, store = spark.read.parquet(str(tmp_path / "t")).inputFiles(), LayerStore(spark, str(tmp_path / "s"))
+    sizes = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert store.holds(files, sizes) and not store.holds(files, sizes + 1) and not store.holds([], 1)
+    assert store.holds([files[0], "file:/none"], 1)
