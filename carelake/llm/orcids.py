@@ -87,28 +87,27 @@ class PieceEncoder:
         """
         cut: list[list[str] | None] = []
         for text in texts:
-            if _ODD.search(text):
+            if any(map(text.__contains__, _ODD)):
                 cut.append(None)
                 continue
             if "<|" not in text and "Σ" not in text and (text.isascii() or SETTLED.fullmatch(text)):
                 text = text.lower()
             cut.append(STOPS.sub(r" \1", text).split())
-        known = self.new
-        asked = set().union(*[p for p in cut if p is not None])
-        asked.difference_update(known)
-        words, others = [], []
-        for piece in asked:
-            if (packed := self.old.get(piece)) is not None:
-                known[piece] = packed
-            else:
-                (words if piece.isalpha() else others).append(piece)
+        known, old = self.new, self.old
+        # Differences with a dictionary look up the texts' pieces; updates by it would go through all that is remembered.
+        asked = set().union(*[p for p in cut if p is not None]).difference(known)
+        fresh = asked.difference(old)
+        asked -= fresh
+        known.update(zip(asked, map(old.__getitem__, asked), strict=True))
+        words = [p for p in fresh if p.isalpha()]
+        others = [p for p in fresh if not p.isalpha()]
         if words:
             known.update(zip(words, self._ask(words), strict=True))
         if others:
             known.update(zip(others, self._ask_apart(others), strict=True))
         find = known.__getitem__
         out = [self.whole(t) if p is None else b"".join(map(find, p)) for t, p in zip(texts, cut, strict=True)]
-        for piece in asked:
+        for piece in fresh:
             if len(piece) > LONGEST:
                 del known[piece]
         if len(known) > REMEMBERED:
@@ -123,7 +122,7 @@ class PieceEncoder:
 #: letter whose lower case ends in a mark.
 STOPS = re.compile(r"([.,])(?<=[^\W_İ][.,])(?=\s|\Z)")
 #: Python takes these for white space, the tokenizer does not: such texts go to the library as a whole.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 #: The encoder of this worker, which lives on from task to task, and the tokenizer it is for.
