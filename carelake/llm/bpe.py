@@ -2,7 +2,8 @@
 
 Every prefix of a word has one encoding, and so one last token. An automaton over all tokens names those that end at
 a place; of these the one counts that may follow the last token of the prefix before it. Two tokens may stand side by
-side if no merge across their border comes before the merges that build them. The word's ids are read off backwards.
+side if no merge across their border comes before the merges that build them. The word's ids are read off backwards,
+so only those prefixes are looked at that a token of the word's end leads to.
 
 Nulls count as empty texts; an empty text has no ids and decodes to an empty text. Texts are processed whole.
 Repeated rows and ids give equal rows. Columns other than the id and the text are not read unless asked for.
@@ -11,10 +12,11 @@ Repeated rows and ids give equal rows. Columns other than the id and the text ar
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
-from functools import cache
+from array import array
+from functools import cache, cached_property
 
-import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,11 @@ from carelake.llm.common import map_rows, ship, text_of
 END = "\n"
 SUFFIX = "</w>"
 #: Words a worker remembers: the newest so many, and those used again of as many before. Longer ones never.
-REMEMBERED, LONGEST = 100_000, 40
+REMEMBERED, LONGEST = 170_000, 40
 #: Pairs of tokens whose test a worker remembers, until it begins anew.
 PAIRS = 200_000
+#: Ways from state to state that a worker's automaton remembers besides the tokens' own; others are found anew each time.
+WAYS = 200_000
 NO_ID = -1
 
 # How the vocabulary's own tokenizer cuts a lower-case text.
@@ -48,6 +52,52 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class State(dict):
+    """A state of the automaton: the states that symbols lead to. Those beyond the tokens' own are found when first asked for."""
+
+    __slots__ = ("ending", "shorter", "spare")
+
+    def __init__(self, shorter: State | None) -> None:
+        #: The state of the longest other end of what was read; the first state has none.
+        self.shorter = shorter
+        #: How many more ways all states together may remember.
+        self.spare: list[int] = [WAYS] if shorter is None else shorter.spare
+        #: The tokens that end here, the longest first.
+        self.ending: tuple[int, ...] = ()
+
+    def __missing__(self, symbol: str) -> State:
+        after = self if self.shorter is None else self.shorter[symbol]
+        # A symbol that begins no token leads back to the first state; there are too many such to remember each.
+        if after.shorter is not None and self.spare[0] > 0:
+            self.spare[0] -= 1
+            self[symbol] = after
+        return after
+
+
+def automaton(keys: dict[str, int]) -> State:
+    """The first state of the automaton that finds `keys`."""
+    first = State(None)
+    layer: list[tuple[State, list[str]]] = [(first, sorted(keys))]
+    depth = 0
+    while layer:  # all states of a depth before the next: what is shorter is done
+        deeper = []
+        for state, below in layer:
+            parts: dict[str, list[str]] = {}
+            for key in below:
+                if len(key) > depth:
+                    parts.setdefault(key[depth], []).append(key)
+            # asked before any of them is set, as the first state would answer with the new one itself
+            shorter = {symbol: first if state is first else state.shorter[symbol] for symbol in parts}
+            for symbol, longer in parts.items():
+                made = state[symbol] = State(shorter[symbol])
+                token = keys.get(longer[0]) if len(longer[0]) == depth + 1 else None
+                made.ending = shorter[symbol].ending if token is None else (token, *shorter[symbol].ending)
+                deeper.append((made, longer))
+        layer = deeper
+        depth += 1
+    return first
+
+
 class Vocabulary:
     """Tokens, the merge that builds each, and the automaton that finds them."""
 
@@ -57,26 +107,28 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.base = max(self.tokens, default=0) + 1  # a pair of tokens as one number
+        self.rank: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}  # the rank of the merge that makes a token
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             x, y, whole = self.ids[a], self.ids[b], self.ids[a + b]
-            self.rank.setdefault((x, y), rank)
+            self.rank.setdefault(x * self.base + y, rank)
             if whole not in self.made:
                 self.left[whole], self.right[whole], self.made[whole] = x, y, rank
         self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
-        self.finder = ahocorasick.Automaton()
-        for text, i in self.ids.items():
-            if self._whole(i, text):
-                key = text[: -len(SUFFIX)] + END if text.endswith(SUFFIX) else text
-                self.finder.add_word(key, (i, len(key)))
-        self.finder.make_automaton()
+        self.known: dict[int, bool] = {}
+        keys = {t.removesuffix(SUFFIX) + END * t.endswith(SUFFIX): i for t, i in self.ids.items() if self._whole(i, t)}
+        self.length = array("I", [0]) * self.base
+        for key, i in keys.items():
+            self.length[i] = len(key)
+        self.first = automaton(keys)
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
+        self.spines.clear()  # of all tokens; few are asked for again
+
     def _whole(self, token: int, text: str) -> bool:
         """Whether the token's own text is encoded as this one token."""
         if token not in self.made:
@@ -99,7 +151,7 @@ class Vocabulary:
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = ours[i], theirs[j]
-            merge = self.rank.get((x, y))
+            merge = self.rank.get(x * self.base + y)
             # Of equal merges the leftmost comes first: the one within a before this one, this one before that in b.
             if merge is not None and merge < x_ends and merge <= y_ends and merge < before:
                 return False
@@ -111,11 +163,12 @@ class Vocabulary:
                 j += 1
 
     def may_follow(self, a: int, b: int) -> bool:
-        found = self.known.get((a, b))
+        pair = a * self.base + b
+        found = self.known.get(pair)
         if found is None:
             if len(self.known) >= PAIRS:
                 self.known.clear()
-            found = self.known[a, b] = self._side_by_side(a, b)
+            found = self.known[pair] = self._side_by_side(a, b)
         return found
 
     def word(self, text: str) -> list[int]:
@@ -129,33 +182,44 @@ class Vocabulary:
         """The ids of one word that is given in byte symbols."""
         text += END
         size = len(text)
-        last, start = [NO_ID] * (size + 1), [0] * (size + 1)
-        known = self.known
-        for end, (token, length) in self.finder.iter(text):
-            end += 1
-            if last[end] != NO_ID:
-                continue
-            begin = end - length
-            if begin:
-                before = last[begin]
-                if before == NO_ID:
-                    continue
-                fits = known.get((before, token))
-                if not (self.may_follow(before, token) if fits is None else fits):
-                    continue
-            last[end], start[end] = token, begin
+        state = self.first
+        ending = [(state := state[symbol]).ending for symbol in text]
+        known, base, length = self.known, self.base, self.length
+        last: list[int | None] = [0, *[None] * size]
+        asked = [0]
+        end = size
+        while end:
+            for token in ending[end - 1]:
+                begin = end - length[token]
+                if begin:
+                    before = last[begin]
+                    if before is None:
+                        asked.append(end)
+                        end = begin
+                        break
+                    if before == NO_ID:
+                        continue
+                    fits = known.get(before * base + token)
+                    if not (self.may_follow(before, token) if fits is None else fits):
+                        continue
+                last[end] = token
+                end = asked.pop()
+                break
+            else:
+                last[end] = NO_ID
+                end = asked.pop()
         out = []
-        while size:
-            out.append(last[size])
-            size = start[size]
+        while size and (token := last[size]) != NO_ID:
+            out.append(token)
+            size -= length[token]
         out.reverse()
-        if "".join([self.tokens.get(i, "") for i in out]) != text[:-1] + SUFFIX:
+        if size or "".join(map(self.tokens.__getitem__, out)) != text[:-1] + SUFFIX:
             raise ValueError(f"a word of {len(text) - 1} symbols does not come back from its ids")
         return out
 
 
 def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Coder:
@@ -164,10 +228,14 @@ class Coder:
     def __init__(self, content: str) -> None:
         self.vocabulary = Vocabulary(content)
         self.pattern = regex.compile(WORDS)
-        self.library = Tokenizer.from_str(content)
+        self.content = content
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.content)
+
     def _word(self, word: str) -> bytes:
         return self.new.get(word) or self._piece(word, True)
 
@@ -216,6 +284,17 @@ class Coder:
         return " ".join(map(self.vocabulary.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
+#: The coder of this worker, which lives on from task to task with the words it remembers, and the tokenizer it is for.
+_KEPT: dict[str, Coder] = {}
+
+
+def _coder(content: str) -> Coder:
+    if content not in _KEPT:
+        _KEPT.clear()
+        _KEPT[content] = Coder(content)
+    return _KEPT[content]
+
+
 def read_spec(spark: SparkSession, path: str) -> str:
     """The tokenizer's file: a vocabulary, so bounded; the tasks get it from the driver."""
     with open(path, encoding="utf-8") as file:
@@ -234,7 +313,7 @@ def encode_decode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str,
     names = [f"k{i}" for i in range(len(keep))]
 
     def make():
-        coder = Coder(shared.value)
+        coder = _coder(shared.value)
 
         def row(text, *kept):
             packed = coder.encode(text)

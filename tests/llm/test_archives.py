@@ -65,6 +65,31 @@ def test_little_memory_changes_nothing(monkeypatch, library):
         assert list(memoryview(coder.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("ways", [0, 5, 200_000])
+def test_the_automaton_names_all_tokens_that_end_at_a_place(monkeypatch, ways):
+    monkeypatch.setattr(bpe, "WAYS", ways)
+    keys = {k: i for i, k in enumerate(["a", "b", "ab", "ba", "bab", "abba", "aab", "bbab", "cab"])}
+    state = bpe.automaton(keys)
+    rnd = random.Random(6)
+    text = "".join(rnd.choices("abcx", k=2000))
+    for end, symbol in enumerate(text, 1):
+        state = state[symbol]
+        assert list(state.ending) == [keys[text[b:end]] for b in range(max(0, end - 4), end) if text[b:end] in keys]
+
+
+def test_only_prefixes_that_the_end_leads_to_are_tested(library):
+    vocabulary = bpe.Vocabulary(open(SPEC, encoding="utf-8").read())
+    assert vocabulary.word("information") == library.encode("information", add_special_tokens=False).ids
+    assert len(vocabulary.known) <= 1  # one token, or two: no pair of its shorter prefixes was tried
+
+
+def test_a_worker_keeps_its_coder_from_task_to_task():
+    content = open(SPEC, encoding="utf-8").read()
+    kept = bpe._coder(content)
+    kept.encode("remembered words")
+    assert bpe._coder(content) is kept and "remembered" in kept.new
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_orc_files_give_back_every_id(spark, library, files):
     texts = [*odd_texts()[:40], "many words " * 4000]
