@@ -369,6 +369,18 @@ def test_fact_cancellation(fact):
     assert (row.cancellation_reason, row.cancellation_created_at) == ("sick", dt.datetime(2020, 1, 9, 10))
 
 
+def test_a_fact_is_planned_without_a_run(spark, clinic_world):
+    spark.sparkContext.setJobGroup("planned-fact", "")
+    try:
+        planned = fact_appointments(clinic_world, None, ["professional_id", "clinic_id", "date_id"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planned-fact")
+        assert planned.where(F.col("professional_id").isNotNull()).count() > 0
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("planned-fact")
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(key, None)
+
+
 def test_fact_of_some_columns_equals_whole(fact, clinic_world, dims):
     some = fact_appointments(clinic_world, dims, ["appointment_fingerprint", "patient_id"])
     assert rows(some) == rows(fact.select(*some.columns))
